@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from gaugeworks.catalog import window_queries  # noqa: F401
+from gaugeworks.catalog import calibration_queries, window_queries  # noqa: F401
 from gaugeworks.catalog.registry import QUERIES, Query
 
 __all__ = ["QUERIES", "Query"]
