@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from gaugeworks.catalog import calibration_queries, window_queries  # noqa: F401
+from gaugeworks.catalog import (  # noqa: F401
+    calibration_queries,
+    coverage_queries,
+    metric_queries,
+    split_queries,
+    window_queries,
+)
 from gaugeworks.catalog.registry import QUERIES, Query
 
 __all__ = ["QUERIES", "Query"]

@@ -33,11 +33,12 @@ VIEWS: dict[str, str] = {}
 # One counter sample per line item: a ship day is a second, the keys add milliseconds.
 VIEWS["telemetry"] = """
 SELECT CAST(l_suppkey AS BIGINT) AS run_id,
-       CAST(l_linenumber % 2 AS INT) AS gpu_index,
+       CAST(CASE WHEN l_suppkey % 61 = 17 THEN 0 ELSE l_linenumber % 2 END AS INT) AS gpu_index,
        ((CAST(year(l_shipdate) AS BIGINT) - 1995) * 372 + (month(l_shipdate) - 1) * 31
          + day(l_shipdate)) * 1000000000
          + ((l_orderkey * 7 + l_linenumber * 13 + l_partkey) % 1000) * 1000000 AS mono_ns,
        CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS sequence,
+       CASE WHEN l_suppkey % 53 = 21 THEN '9.9' ELSE '2.0' END AS schema_version,
        CAST(round(l_discount * 1000) AS DOUBLE) AS gpu_utilization_pct,
        CAST(round(l_tax * 1000) AS DOUBLE) AS memory_utilization_pct,
        CAST(l_orderkey % 4096 AS DOUBLE) AS memory_used_bytes,
@@ -74,7 +75,8 @@ SELECT CAST(s_suppkey AS BIGINT) AS run_id,
        CAST(s_suppkey % 5 AS DOUBLE) AS warmup_seconds,
        s_suppkey % 37 = 9 AS legacy_grouping_ambiguous,
        CASE WHEN s_suppkey % 7 = 3 THEN CAST(200000000000 AS BIGINT) END AS measurement_start_ns,
-       CASE WHEN s_suppkey % 7 = 3 THEN CAST(2000000000000 AS BIGINT) END AS measurement_end_ns,
+       CASE WHEN s_suppkey % 67 = 24 THEN CAST(230000000000 AS BIGINT)
+            WHEN s_suppkey % 7 = 3 THEN CAST(2000000000000 AS BIGINT) END AS measurement_end_ns,
        CASE WHEN s_suppkey % 41 = 11 THEN 'corpus-other' ELSE 'corpus-main' END AS corpus_id,
        concat('node-', CAST(s_nationkey % 4 AS STRING)) AS node_id,
        s_acctbal AS wall_cost
@@ -84,7 +86,8 @@ FROM {supplier}
 # Declared corpus: one plan per supplier; some without an accepted run, some not matching it.
 VIEWS["planned_runs"] = """
 SELECT concat('plan-', CAST(s_suppkey AS STRING)) AS plan_id,
-       CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE CAST(s_suppkey AS BIGINT) END AS accepted_run_id,
+       CASE WHEN s_suppkey % 11 = 0 THEN NULL WHEN s_suppkey % 47 = 13 THEN -CAST(s_suppkey AS BIGINT)
+            ELSE CAST(s_suppkey AS BIGINT) END AS accepted_run_id,
        CASE WHEN s_suppkey % 43 = 12 THEN 'control_idle' ELSE
          CASE s_suppkey % 8 WHEN 0 THEN 'ddp_training' WHEN 1 THEN 'inference_prefill_independent'
             WHEN 2 THEN 'inference_decode_independent' WHEN 3 THEN 'inference_synchronized'
@@ -143,10 +146,31 @@ SELECT CAST(l_suppkey AS BIGINT) AS run_id,
        concat('session-', l_linestatus) AS experiment_session_id,
        concat('config-', CAST(l_partkey % 5 AS STRING)) AS workload_config_id,
        CASE CAST(l_suppkey AS BIGINT) % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'validation'
-            ELSE 'train' END AS split
+            ELSE 'train' END AS split,
+       CASE WHEN l_suppkey % 8 = 0 THEN 'training' WHEN l_suppkey % 8 <= 3 THEN 'inference'
+            ELSE 'control' END AS target_label,
+       CASE WHEN l_quantity <= 15 THEN 'training' WHEN l_quantity <= 33 THEN 'inference'
+            ELSE 'control' END AS predicted_label,
+       CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE CAST(floor(l_extendedprice) AS DOUBLE) END AS signal_a,
+       CASE WHEN l_partkey % 19 = 0 THEN NULL ELSE CAST(l_quantity * 1000 AS DOUBLE) END AS signal_b
 FROM {lineitem}
 """
 
+# Identity rows of features: one per (run, minute), with conflicts and gaps in the metadata.
+VIEWS["feature_index"] = """
+SELECT t.run_id, t.window_index,
+       CASE WHEN r.target_label = 'control' AND t.run_id % 73 = 6 THEN CAST(30 AS DOUBLE) ELSE CAST(60 AS DOUBLE) END
+         AS window_seconds,
+       CASE WHEN t.run_id % 79 = 25 THEN NULL ELSE r.experiment_session_id END AS experiment_session_id,
+       r.target_label, r.workload_family,
+       CASE WHEN t.run_id % 71 = 19 AND t.window_index % 2 = 1 THEN 'config-other' ELSE r.workload_config_id END
+         AS workload_config_id,
+       r.legacy_grouping_ambiguous, r.designation, t.samples
+FROM (SELECT run_id, CAST(floor(mono_ns / CAST(60000000000 AS DOUBLE)) AS BIGINT) AS window_index, count(*) AS samples
+      FROM {telemetry} GROUP BY run_id, CAST(floor(mono_ns / CAST(60000000000 AS DOUBLE)) AS BIGINT)) t
+JOIN {runs} r ON r.run_id = t.run_id
+"""
+
 PLACEHOLDER = re.compile(r"\{(\w+)\}")
 
 
