@@ -3,6 +3,8 @@
 from gaugeworks.catalog import (  # noqa: F401
     calibration_queries,
     coverage_queries,
+    evidence_queries,
+    ingest_queries,
     metric_queries,
     split_queries,
     window_queries,

@@ -54,22 +54,29 @@ def running_totals(
     order: Sequence[Column | str],
     segments: Sequence[Column],
     values: dict[str, Column],
+    how: str = "sum",
 ) -> DataFrame:
-    """Totals of ``values`` over all rows before the current one, in (keys, order).
+    """Sum (or ``how="max"``) of ``values`` over all rows before the current one.
 
-    ``segments`` are one or two expressions that never decrease along the order, the
-    second refining the first. Totals are added up level by level, so no level sorts
-    more rows than one segment holds. Rows must be unique in (keys, order).
+    Order is (keys, order). ``segments`` are one or two expressions that never decrease
+    along the order, the second refining the first. Totals are combined level by level,
+    so no level sorts more rows than one segment holds. Rows must be unique in (keys,
+    order). A sum over no rows is zero, a maximum over no rows is null.
     """
     keys = list(keys)
     levels = [f"_level{i}" for i in range(len(segments))]
     cut = frame.withColumns(dict(zip(levels, segments, strict=True)))
     names = list(values)
     cut = cut.withColumns({f"_v_{n}": v for n, v in values.items()})
+    fold = F.max if how == "max" else F.sum
 
     def before(over) -> list[Column]:
         frame_before = over.rowsBetween(Window.unboundedPreceding, -1)
-        return [F.coalesce(F.sum(f"_v_{n}").over(frame_before), F.lit(0)) for n in names]
+        found = [fold(f"_v_{n}").over(frame_before) for n in names]
+        return found if how == "max" else [F.coalesce(c, F.lit(0)) for c in found]
+
+    def combine(a: Column, b: Column) -> Column:
+        return F.greatest(a, b) if how == "max" else a + b
 
     result = cut.withColumns(
         dict(
@@ -82,13 +89,13 @@ def running_totals(
     )
     for depth in range(len(levels)):
         group = [*keys, *levels[: depth + 1]]
-        totals = cut.groupBy(*group).agg(*[F.sum(f"_v_{n}").alias(f"_v_{n}") for n in names])
+        totals = cut.groupBy(*group).agg(*[fold(f"_v_{n}").alias(f"_v_{n}") for n in names])
         over = Window.partitionBy(*keys, *levels[:depth]).orderBy(levels[depth])
         offsets = totals.select(
             *group, *[c.alias(f"_o_{n}") for n, c in zip(names, before(over), strict=True)]
         )
         result = result.join(offsets, group).withColumns(
-            {f"{n}_before": F.col(f"{n}_before") + F.col(f"_o_{n}") for n in names}
+            {f"{n}_before": combine(F.col(f"{n}_before"), F.col(f"_o_{n}")) for n in names}
         )
         result = result.drop(*[f"_o_{n}" for n in names])
     return result.drop(*levels, *[f"_v_{n}" for n in names])

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import arrays as A
+from gaugeworks.functions.arrays import div
 from gaugeworks.schemas import TELEMETRY_FIELDS
 
 NS = 1_000_000_000
@@ -23,11 +24,6 @@ BLOCK_WINDOWS = 8
 TX, RX = "pcie_tx_bytes_per_s", "pcie_rx_bytes_per_s"
 
 
-def div(value: Column, by: Column | int) -> Column:
-    """Whole-number division without a detour through doubles."""
-    return F.call_function("div", value, F.lit(by) if isinstance(by, int) else by)
-
-
 def reading(name: str):
     return lambda sample: sample[name]
 

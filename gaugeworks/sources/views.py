@@ -171,7 +171,127 @@ FROM (SELECT run_id, CAST(floor(mono_ns / CAST(60000000000 AS DOUBLE)) AS BIGINT
 JOIN {runs} r ON r.run_id = t.run_id
 """
 
-PLACEHOLDER = re.compile(r"\{(\w+)\}")
+# Monitoring messages before numbering: one per event, with one kind of fault per modulus.
+VIEWS["message_events"] = """
+SELECT event_id, concat('batch-', CAST(event_id AS STRING)) AS message_id,
+       concat('agent-', CAST(user_id AS STRING)) AS agent_id,
+       concat('node-', CAST(user_id % 4 AS STRING)) AS node_id, ts AS received_at, value,
+       CASE WHEN event_type = 'error' THEN 'heartbeat' ELSE 'telemetry_batch' END AS message_type,
+       CASE WHEN event_id % 139 = 5 THEN 'payload_too_large'
+            WHEN event_id % 89 = 7 THEN 'unsupported_protocol_version'
+            WHEN user_id % 29 = 7 THEN 'unknown_agent'
+            WHEN event_id % 107 = 9 THEN 'node_identity_mismatch'
+            WHEN event_id % 109 = 11 THEN 'invalid_signature'
+            WHEN event_id % 113 = 13 THEN 'session_mismatch'
+            WHEN event_id % 127 = 17 THEN 'unknown_message_type'
+            WHEN event_id % 149 = 23 THEN 'invalid_message'
+            WHEN event_id % 131 = 19 AND event_type <> 'error' THEN 'privacy_violation'
+            WHEN event_id % 137 = 21 AND event_type <> 'error' THEN 'invalid_sample' END AS stateless_fault,
+       CASE WHEN event_id % 97 = 1 THEN 'gap' WHEN event_id % 101 = 2 THEN 'stale'
+            WHEN event_id % 83 = 3 THEN 'skew'
+            WHEN event_id % 79 = 4 AND event_type <> 'error' THEN 'sample_skew'
+            WHEN event_id % 103 = 6 AND event_type <> 'error' THEN 'chain' END AS stateful_fault
+FROM {events}
+"""
+# Registered agents: every user of the stream but one in twenty-nine.
+VIEWS["registry"] = """
+SELECT DISTINCT concat('agent-', CAST(user_id AS STRING)) AS agent_id,
+       concat('node-', CAST(user_id % 4 AS STRING)) AS node_id,
+       concat('key-of-', CAST(user_id AS STRING)) AS secret
+FROM {events} WHERE user_id % 29 <> 7
+"""
+
+# Run manifests, one per order; a customer is a plan and its orders are the attempts.
+VIEWS["manifests"] = """
+SELECT concat('run-', CAST(o_orderkey AS STRING)) AS run_id, concat('plan-', CAST(o_custkey AS STRING)) AS plan_id,
+       concat('runs/', CAST(o_orderkey AS STRING), '/manifest.json') AS path,
+       CASE o_orderpriority WHEN '1-URGENT' THEN 'ddp_training' WHEN '2-HIGH' THEN 'periodic_local_sgd'
+            WHEN '3-MEDIUM' THEN 'inference_synchronized' WHEN '4-NOT SPECIFIED' THEN 'idle_padding' ELSE 'control_idle' END AS workload_family,
+       CASE WHEN o_orderpriority IN ('2-HIGH', '4-NOT SPECIFIED')
+            THEN CASE WHEN o_orderkey % 1009 = 4 THEN 'benign' ELSE 'adversarial' END ELSE 'benign' END AS designation,
+       CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '4-NOT SPECIFIED') THEN 'training'
+            WHEN o_orderpriority = '3-MEDIUM' THEN 'inference' ELSE 'control' END AS workload_label,
+       CASE WHEN o_orderkey % 61 = 1 THEN 'timeout' WHEN o_orderkey % 37 = 2 THEN 'failed'
+            WHEN o_orderkey % 503 = 3 THEN 'unknown' ELSE 'completed' END AS exit_status,
+       CASE WHEN o_orderkey % 122 = 1 THEN NULL ELSE 'reason' END AS failure_reason,
+       o_orderstatus <> 'P' AS participation_valid,
+       CASE WHEN o_orderkey % 307 = 5 THEN 3 ELSE 2 END AS world_size,
+       CASE WHEN o_orderkey % 311 = 6 THEN CAST(-1 AS DOUBLE) ELSE CAST(o_orderkey % 5 AS DOUBLE) END AS warmup_seconds,
+       CASE WHEN o_orderkey % 401 = 7 THEN '9.9' WHEN o_orderkey % 13 = 8 THEN '1.0' ELSE '2.0' END AS schema_version,
+       CASE WHEN o_orderkey % 409 = 9 THEN NULL ELSE concat('session-', CAST(o_custkey % 6 AS STRING)) END AS experiment_session_id,
+       CASE WHEN o_orderkey % 13 = 8 THEN NULL ELSE 'corpus-main' END AS corpus_id,
+       CASE WHEN o_orderkey % 419 = 10 THEN '' ELSE concat('env-', CAST(o_custkey % 9 AS STRING)) END AS environment_fingerprint,
+       concat('commit-', CAST(o_custkey % 4 AS STRING)) AS source_commit,
+       CASE WHEN o_orderkey % 421 = 11 THEN '2024-01-01T00:00:00' ELSE '2024-01-01T00:00:00Z' END AS started_at_utc,
+       CAST(o_orderkey AS BIGINT) * 1000 AS seed,
+       CAST(o_orderkey AS BIGINT) * 1000 + CASE WHEN o_orderkey % 431 = 12 THEN 1 ELSE 0 END AS random_seed,
+       CASE WHEN o_orderkey % 433 = 13 THEN NULL ELSE CAST(o_orderkey AS BIGINT) * 1000000 END AS measurement_start_ns,
+       CAST(o_orderkey AS BIGINT) * 1000000 + (25 + o_orderkey % 20) * 1000000000 AS measurement_end_ns,
+       CAST(25 + o_orderkey % 20 AS DOUBLE) + CASE WHEN o_orderkey % 439 = 14 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
+         AS measured_duration_seconds,
+       CASE WHEN o_orderkey % 443 = 15 THEN 'h-other' ELSE concat('h-', CAST(o_custkey AS STRING)) END AS planned_hash,
+       CAST(floor(o_totalprice) AS DOUBLE) / CAST(100 AS DOUBLE) AS wall_seconds,
+       CAST(CASE o_custkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 8 ELSE 16 END AS BIGINT) AS local_steps,
+       CAST(o_orderkey % 100 AS BIGINT) AS sync_rounds,
+       concat('{"mode":"train","rank_runtime_evidence":{',
+         '"0":{"strategy_summary":{"actual_sync_rounds":', CAST(o_orderkey % 100 AS STRING),
+         ',"expected_sync_rounds":', CAST(o_orderkey % 100 + CASE WHEN o_orderkey % 449 = 16 THEN 1 ELSE 0 END AS STRING),
+         ',"communication_bytes_proxy":', CAST(o_orderkey % 5000 AS STRING), ',"final_loss_proxy":',
+         CASE WHEN o_orderkey % 457 = 17 THEN 'null' ELSE CAST(o_orderkey % 7 AS STRING) END, '},"memory_peak":{"allocated_bytes":',
+         CAST(o_orderkey % 900 AS STRING), '}},',
+         '"1":{"strategy_summary":{"actual_sync_rounds":', CAST(o_orderkey % 100 + CASE WHEN o_orderkey % 461 = 18 THEN 2 ELSE 0 END AS STRING),
+         ',"expected_sync_rounds":', CAST(o_orderkey % 100 + CASE WHEN o_orderkey % 461 = 18 THEN 2 ELSE 0 END AS STRING),
+         ',"communication_bytes_proxy":', CAST(o_orderkey % 4000 AS STRING), ',"final_loss_proxy":', CAST(o_orderkey % 11 AS STRING),
+         CASE WHEN o_orderkey % 463 = 19 THEN ',"detector_score":1' ELSE '' END, '},"memory_peak":{"allocated_bytes":',
+         CAST(o_orderkey % 800 AS STRING), '}}}}') AS config
+FROM {orders}
+"""
+# Rank event log: one event per order, fifteen customers to a run.
+VIEWS["rank_events"] = """
+SELECT CAST(floor(o_custkey / CAST(15 AS DOUBLE)) AS BIGINT) AS run_id,
+       CAST(floor(o_orderkey / CAST(9 AS DOUBLE)) AS BIGINT) % 2 AS rank,
+       CASE o_orderkey % 9 WHEN 0 THEN 'collective_start' WHEN 1 THEN 'collective_complete' WHEN 2 THEN 'measurement_interval'
+            WHEN 3 THEN 'startup' WHEN 4 THEN 'cuda_operation_complete' WHEN 5 THEN 'heartbeat' WHEN 6 THEN 'completion'
+            WHEN 7 THEN 'memory_peak' ELSE 'model_ready' END AS event,
+       ((CAST(year(o_orderdate) AS BIGINT) - 1995) * 372 + (month(o_orderdate) - 1) * 31 + day(o_orderdate)) * 1000000000 AS mono_ns,
+       CAST(100 + o_orderkey % 50 AS BIGINT) * 1000000000 AS interval_start_ns,
+       CAST(2000 - o_orderkey % 50 AS BIGINT) * 1000000000 AS interval_end_ns,
+       concat('GPU-', CAST(CAST(floor(o_custkey / CAST(15 AS DOUBLE)) AS BIGINT) % 7 AS STRING), '-',
+         CAST(CAST(floor(o_orderkey / CAST(9 AS DOUBLE)) AS BIGINT) % CASE WHEN o_custkey % 17 = 3 THEN 1 ELSE 2 END AS STRING)) AS gpu_uuid
+FROM {orders}
+"""
+# Workload registry: one entry per part; a brand is a profile.
+VIEWS["workloads"] = """
+SELECT p_partkey AS entry_id, p_brand AS profile,
+       CASE p_partkey % 4 WHEN 0 THEN concat('collective_all_reduce_', CAST(p_size AS STRING), 'mib')
+            WHEN 1 THEN concat('adversarial_periodic_local_sgd_k', CAST(p_size % 20 AS STRING))
+            WHEN 2 THEN concat('collective_unknown_', CAST(p_size AS STRING), 'mib')
+            ELSE concat('ddp_train_', CAST(p_partkey AS STRING)) END AS workload_name,
+       CASE WHEN p_partkey % 173 = 5 THEN NULL ELSE concat('config-', CAST(p_partkey - CASE WHEN p_partkey % 179 = 7 THEN 1 ELSE 0 END AS STRING)) END
+         AS config_id,
+       CASE p_partkey % 9 WHEN 0 THEN 'gradient_accumulation' WHEN 1 THEN 'periodic_local_sgd' WHEN 2 THEN 'diloco_inspired'
+            WHEN 3 THEN 'segmented_runs' WHEN 4 THEN 'idle_padding' WHEN 5 THEN 'randomized_synchronization'
+            WHEN 6 THEN 'mixed_training_inference' WHEN 7 THEN 'synthetic_communication_decoy' ELSE 'unlisted' END AS strategy_id,
+       CASE p_partkey % 9 WHEN 0 THEN 'gradient_accumulation' WHEN 1 THEN 'local_steps' WHEN 2 THEN 'inner_steps' WHEN 3 THEN 'segment_count'
+            WHEN 4 THEN 'idle_padding_s' WHEN 5 THEN 'sync_probability' WHEN 6 THEN 'inference_every' WHEN 7 THEN 'payload_mib' ELSE 'none' END AS parameter,
+       CASE WHEN p_partkey % 9 = 5 THEN CAST(p_size AS DOUBLE) / CAST(50 AS DOUBLE) WHEN p_partkey % 31 = 3 THEN CAST(p_size AS DOUBLE) + CAST(0.5 AS DOUBLE)
+            ELSE CAST(p_size AS DOUBLE) END AS parameter_value,
+       CASE WHEN p_partkey % 2 = 0 THEN 'benign' ELSE 'adversarial' END AS designation,
+       concat('session-', CAST(p_partkey % 12 AS STRING)) AS experiment_session_id,
+       CAST(p_partkey % 4 AS DOUBLE) - CASE WHEN p_partkey % 181 = 9 THEN CAST(9 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS warmup_seconds,
+       CAST(30 + p_partkey % 23 AS DOUBLE) AS min_measured_seconds, CAST(30 + p_size AS DOUBLE) AS estimated_seconds,
+       CAST(1 + p_size % 6 AS BIGINT) AS batch_size, CAST(1 + p_size % 8 AS BIGINT) AS segment_count, CAST(p_size AS BIGINT) AS steps
+FROM {part}
+"""
+
+PLACEHOLDER = re.compile(r"\{([a-z]\w*)\}")
+
+
+def _for_spark(text: str) -> str:
+    """Double every brace that is not a table mark, as ``spark.sql`` formatting asks for."""
+    marked = PLACEHOLDER.sub(lambda m: f"\0{m.group(1)}\1", text)
+    return marked.replace("{", "{{").replace("}", "}}").replace("\0", "{").replace("\1", "}")
+
 
 
 def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -187,7 +307,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         )
         for source in set(PLACEHOLDER.findall(text))
     }
-    return spark.sql(text, **inputs)
+    return spark.sql(_for_spark(text), **inputs)
 
 
 def with_views(body: str, extra: dict[str, str] | None = None) -> str:
