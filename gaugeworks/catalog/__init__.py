@@ -6,6 +6,7 @@ from gaugeworks.catalog import (  # noqa: F401
     evidence_queries,
     ingest_queries,
     metric_queries,
+    model_queries,
     split_queries,
     window_queries,
 )
