@@ -58,7 +58,8 @@ GROUP BY rep
 """
 EXTRA["boot"] = """
 SELECT list(s ORDER BY s) AS s, count(*) AS m FROM (
-  SELECT (tp / CAST(tp + fn AS DOUBLE) + tn / CAST(tn + fp AS DOUBLE)) / 2 AS s FROM {resampled} WHERE tp + fn > 0 AND tn + fp > 0) q
+  SELECT (tp / CAST(tp + fn AS DOUBLE) + tn / CAST(tn + fp AS DOUBLE)) / 2 AS s FROM {resampled}
+  WHERE tp + fn > 0 AND tn + fp > 0 AND (SELECT count(*) FROM {outcomes}) >= 20) q
 """
 EXTRA["models"] = """
 SELECT y, m.model, m.model_order, CASE m.model WHEN 'rule' THEN p WHEN 'inverse' THEN 1 - p ELSE CAST(0.25 AS DOUBLE) + p / 2 END AS p
@@ -170,11 +171,9 @@ def abstention_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "bootstrap_interval",
     "A-57",
-    f"""SELECT 500 AS repetitions, m AS usable_repetitions, {r_sql("s[greatest(1, CAST(floor(m * CAST(0.025 AS DOUBLE)) AS BIGINT))]")} AS ci_low,
+    f"""SELECT CAST(CASE WHEN (SELECT count(*) FROM {{outcomes}}) >= 20 THEN 500 ELSE 0 END AS BIGINT) AS repetitions, m AS usable_repetitions, {r_sql("s[greatest(1, CAST(floor(m * CAST(0.025 AS DOUBLE)) AS BIGINT))]")} AS ci_low,
                {r_sql("s[least(m, CAST(floor(m * CAST(0.975 AS DOUBLE)) AS BIGINT) + 1)]")} AS ci_high,
-               {r_sql("list_median(s)")} AS median, (SELECT count(*) FROM {{outcomes}}) AS independent_group_count FROM {{boot}}""".replace(
-        "SELECT 500 AS", "SELECT CAST(500 AS BIGINT) AS"
-    ),
+               {r_sql("list_median(s)")} AS median, (SELECT count(*) FROM {{outcomes}}) AS independent_group_count FROM {{boot}}""",
     EXTRA,
 )
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:

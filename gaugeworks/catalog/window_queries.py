@@ -431,7 +431,7 @@ def cross_device_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cross_device_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = windows(spark, sf_dir, (W.TX, W.RX), pairs=True)
-    rows = W.once(
+    rows = A.once(
         frame,
         pos=W.positional_traffic_pairs(F.col("gpu0"), F.col("gpu1")),
         tim=W.paired_readings(F.col("pairs"), W.total_traffic),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STAT_NAMES = (
@@ -40,6 +40,12 @@ def div(value: Column, by: Column | int) -> Column:
     return F.call_function("div", value, F.lit(by) if isinstance(by, int) else by)
 
 
+def once(frame: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a generator, so later filters and lambdas never repeat them."""
+    packed = F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))
+    return frame.select("*", F.inline(packed))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body`` (lambdas share no subexpressions)."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -58,7 +64,7 @@ def quantile(ordered: Column, probability: float) -> Column:
 
 
 def median(values: Column) -> Column:
-    return let(F.array_sort(values), lambda ordered: quantile(ordered, 0.5))
+    return let(F.sort_array(values), lambda ordered: quantile(ordered, 0.5))
 
 
 def mean(values: Column) -> Column:
@@ -148,7 +154,10 @@ def lag_correlation(left: Column, right: Column) -> Column:
 
 
 def series_stats(series: Column) -> Column:
-    """The fifteen window statistics of array<struct<x: seconds, y: value>> in time order."""
+    """The fifteen window statistics of array<struct<x: seconds, y: value>> in time order.
+
+    ``sort_array`` compares natively; ``array_sort`` would run a lambda per comparison.
+    """
 
     def finish(s: Column) -> Column:
         c, ordered, values = s["c"], s["ordered"], s["values"]
@@ -187,7 +196,7 @@ def series_stats(series: Column) -> Column:
     return let(
         F.struct(
             centred(series).alias("c"),
-            F.array_sort(values).alias("ordered"),
+            F.sort_array(values).alias("ordered"),
             values.alias("values"),
         ),
         with_quantiles,

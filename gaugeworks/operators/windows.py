@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import arrays as A
-from gaugeworks.functions.arrays import div
+from gaugeworks.functions.arrays import div, once
 from gaugeworks.schemas import TELEMETRY_FIELDS
 
 NS = 1_000_000_000
@@ -175,7 +175,7 @@ def window_samples(
     sample = F.struct("gpu_index", "mono_ns", "sequence", *fields)
     grouped = assigned.groupBy(
         "run_id", "block", "window_seconds", "window_index", "window_start_ns", "window_end_ns"
-    ).agg(F.array_sort(F.collect_list(sample)).alias("samples"))
+    ).agg(F.sort_array(F.collect_list(sample)).alias("samples"))
     sides = once(
         grouped,
         **{f"gpu{g}": F.filter("samples", on_device(g)) for g in (0, 1)},
@@ -186,12 +186,6 @@ def window_samples(
     return sides.drop("samples", "block")
 
 
-def once(frame: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns behind a generator, so later filters and lambdas never repeat them."""
-    packed = F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))
-    return frame.select("*", F.inline(packed))
-
-
 def pair_by_time(left: Column, right: Column, tolerance_seconds: float) -> Column:
     """Pairs of two time-ordered sample arrays within a tolerance, without reuse.
 

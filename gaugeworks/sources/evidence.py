@@ -11,9 +11,11 @@ from gaugeworks.schemas import SCHEMA_BY_KIND
 CORRUPT = "_corrupt_record"
 
 
-def parse_lines(lines: DataFrame, column: str, schema: str) -> DataFrame:
+def parse_lines(lines: DataFrame, column: str, schema: str | T.StructType) -> DataFrame:
     """Adds ``record`` and ``state`` (ok, blank or corrupt) to text lines."""
-    typed = f"{schema}, {CORRUPT} string"
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    typed = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     record = F.from_json(
         F.col(column), typed, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     )
@@ -29,17 +31,10 @@ def read_evidence(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame,
 
     Both carry ``source_file``. The schema is fixed per kind, nothing is inferred.
     """
-    schema = SCHEMA_BY_KIND[kind]
-    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    raw = (
-        spark.read.schema(full)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-        .withColumn("source_file", F.col("_metadata.file_path"))
-    )
-    good = raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = raw.where(F.col(CORRUPT).isNotNull()).select("source_file", F.col(CORRUPT).alias("text"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_file"))
+    parsed = parse_lines(lines, "value", SCHEMA_BY_KIND[kind]).where("state <> 'blank'")
+    good = parsed.where("state = 'ok'").select("record.*", "source_file").drop(CORRUPT)
+    bad = parsed.where("state = 'corrupt'").select("source_file", F.col("value").alias("text"))
     return good, bad
 
 
