@@ -62,8 +62,11 @@ def r_sql(expression: str) -> str:
 
 
 def round_doubles(frame: DataFrame) -> DataFrame:
-    """Apply :func:`rounded` to every double column."""
+    """Apply the rounding to every double column (as text: wide frames have hundreds)."""
     doubles = {name for name, kind in frame.dtypes if kind == "double"}
-    return frame.select(
-        *[rounded(F.col(f"`{c}`")).alias(c) if c in doubles else F.col(f"`{c}`") for c in frame.columns]
+    return frame.selectExpr(
+        *[
+            f"{r_sql(f'`{c}`')} AS `{c}`" if c in doubles else f"`{c}`"
+            for c in frame.columns
+        ]
     )

@@ -72,60 +72,50 @@ def mean(values: Column) -> Column:
     return F.when(F.size(values) > 0, total / F.nullif(F.size(values), F.lit(0)))
 
 
-def _sums(pairs: Column, x0: Column, y0: Column) -> Column:
-    return F.aggregate(
-        pairs,
-        F.struct(zero().alias("x"), zero().alias("y")),
-        lambda acc, p: F.struct(
-            (acc["x"] + (p["x"] - x0)).alias("x"), (acc["y"] + (p["y"] - y0)).alias("y")
-        ),
-    )
+def _sum(pairs: Column, term: Callable[[Column], Column]) -> Column:
+    # A scalar fold per sum is far cheaper than one fold that rebuilds a struct per element.
+    return F.aggregate(pairs, zero(), lambda acc, p: acc + term(p))
 
 
-def _moments(pairs: Column, x0: Column, y0: Column, mx: Column, my: Column) -> Column:
-    """Centred second moments; shifting by the first pair keeps constants exactly at zero."""
+def centred(pairs: Column) -> Column:
+    """struct<n, x0, y0, mx, my, xx, yy, xy> of array<struct<x, y>>; null when empty.
 
-    def step(acc: Column, p: Column) -> Column:
-        dx = p["x"] - x0 - mx
-        dy = p["y"] - y0 - my
+    Two passes: means first, then moments of the deviations. Shifting by the first pair
+    keeps a constant series at exactly zero.
+    """
+    names = ("n", "x0", "y0", "mx", "my")
+
+    def means(h: Column) -> Column:
         return F.struct(
-            (acc["xx"] + dx * dx).alias("xx"),
-            (acc["yy"] + dy * dy).alias("yy"),
-            (acc["xy"] + dx * dy).alias("xy"),
+            *[h[c].alias(c) for c in ("n", "x0", "y0")],
+            (_sum(pairs, lambda p: p["x"] - h["x0"]) / h["n"]).alias("mx"),
+            (_sum(pairs, lambda p: p["y"] - h["y0"]) / h["n"]).alias("my"),
         )
 
-    return F.aggregate(
-        pairs, F.struct(zero().alias("xx"), zero().alias("yy"), zero().alias("xy")), step
-    )
-
-
-def centred(pairs: Column) -> Column:
-    """struct<n, x0, y0, mx, my, xx, yy, xy> of array<struct<x, y>>; null when empty."""
+    def deviations(h: Column) -> Column:
+        return F.transform(
+            pairs,
+            lambda p: F.struct(
+                (p["x"] - h["x0"] - h["mx"]).alias("x"), (p["y"] - h["y0"] - h["my"]).alias("y")
+            ),
+        )
 
-    def second(head: Column) -> Column:
+    def moments(h: Column) -> Column:
         return let(
-            F.struct(
-                *[head[c].alias(c) for c in ("n", "x0", "y0")],
-                (head["s"]["x"] / head["n"]).alias("mx"),
-                (head["s"]["y"] / head["n"]).alias("my"),
-            ),
-            lambda h: let(
-                _moments(pairs, h["x0"], h["y0"], h["mx"], h["my"]),
-                lambda m: F.struct(
-                    *[h[c].alias(c) for c in ("n", "x0", "y0", "mx", "my")],
-                    *[m[c].alias(c) for c in ("xx", "yy", "xy")],
-                ),
+            deviations(h),
+            lambda d: F.struct(
+                *[h[c].alias(c) for c in names],
+                _sum(d, lambda p: p["x"] * p["x"]).alias("xx"),
+                _sum(d, lambda p: p["y"] * p["y"]).alias("yy"),
+                _sum(d, lambda p: p["x"] * p["y"]).alias("xy"),
             ),
         )
 
     first = F.get(pairs, F.lit(0))
     head = F.struct(
-        F.size(pairs).cast("double").alias("n"),
-        first["x"].alias("x0"),
-        first["y"].alias("y0"),
-        _sums(pairs, first["x"], first["y"]).alias("s"),
+        F.size(pairs).cast("double").alias("n"), first["x"].alias("x0"), first["y"].alias("y0")
     )
-    return F.when(F.size(pairs) > 0, let(head, second))
+    return F.when(F.size(pairs) > 0, let(head, lambda h: let(means(h), moments)))
 
 
 def correlation(pairs: Column) -> Column:
