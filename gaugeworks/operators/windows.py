@@ -255,33 +255,48 @@ def total_traffic(sample: Column) -> Column:
     return sample[TX] + sample[RX]
 
 
+def value_rows(samples: Column, fields: Sequence[str]) -> Column:
+    """array<struct<x: seconds since the first sample, v: array of field values>>."""
+
+    def rows(origin: Column) -> Column:
+        return F.transform(
+            samples,
+            lambda s: F.struct(
+                ((s["mono_ns"] - origin) / F.lit(1e9)).alias("x"),
+                F.array(*[s[name] for name in fields]).alias("v"),
+            ),
+        )
+
+    return A.let(F.get(samples, F.lit(0))["mono_ns"], rows)
+
+
+def series_at(rows: Column, index: Column) -> Column:
+    """The series of one field, by its position in ``v``; unsupported readings left out."""
+    return F.filter(
+        F.transform(rows, lambda s: F.struct(s["x"].alias("x"), F.get(s["v"], index).alias("y"))),
+        lambda e: e["y"].isNotNull(),
+    )
+
+
 def field_stats(windows: DataFrame, fields: Sequence[str] = TELEMETRY_FIELDS) -> DataFrame:
     """Long form: one row per (run, window, device, field) with the fifteen statistics."""
-    per_field = F.flatten(
-        F.array(
-            *[
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(g).alias("gpu_index"),
-                            F.lit(name).alias("field"),
-                            F.size(f"gpu{g}").alias("sample_count"),
-                            series(F.col(f"gpu{g}"), reading(name)).alias("series"),
-                        )
-                        for name in fields
-                    ]
-                )
-                for g in (0, 1)
-            ]
-        )
+    devices = F.array(
+        *[
+            F.struct(F.lit(g).alias("gpu_index"), value_rows(F.col(f"gpu{g}"), fields).alias("rows"))
+            for g in (0, 1)
+        ]
     )
-    rows = windows.select(*WINDOW_KEYS, F.inline(per_field))
-    return rows.withColumn("s", A.series_stats(F.col("series"))).select(
+    names = F.array(*[F.lit(name) for name in fields])
+    rows = windows.select(*WINDOW_KEYS, F.inline(devices)).select(
+        *WINDOW_KEYS, "gpu_index", "rows", F.posexplode(names).alias("position", "field")
+    )
+    staged = once(rows, series=series_at(F.col("rows"), F.col("position")))
+    return staged.withColumn("s", A.series_stats(F.col("series"))).select(
         *WINDOW_KEYS,
         "gpu_index",
         "field",
         *[F.col(f"s.{name}").alias(name) for name in A.STAT_NAMES],
-        (1 - F.size("series") / F.col("sample_count")).alias("missing_fraction"),
+        (1 - F.size("series") / F.size("rows")).alias("missing_fraction"),
     )
 
 
@@ -356,6 +371,14 @@ def communication(samples: Column, threshold: Column) -> Column:
     return A.let(series(samples, total_traffic), body)
 
 
+DEVICE_NAMES = (
+    "utilization_idle_fraction",
+    "utilization_duty_cycle",
+    "pcie_total_mean_bytes_per_s",
+    "pcie_tx_rx_ratio",
+)
+
+
 def device_summary(samples: Column) -> dict[str, Column]:
     """Utilization shares (idle at 5 percent or less) and the TX/RX means ratio."""
     util = F.filter(
@@ -432,7 +455,45 @@ def feature_rows(
     """The wide feature row of every kept window (about 400 numeric columns)."""
     gate = F.lit(threshold).cast("double")
     samples = {g: F.col(f"gpu{g}") for g in (0, 1)}
-    staged = windows.select(
+    positions = F.sequence(F.lit(0), F.lit(len(fields) - 1))
+    # Fields are addressed by position, so the plan holds one expression for all of them.
+    ready = once(
+        windows,
+        **{f"rows{g}": value_rows(samples[g], fields) for g in (0, 1)},
+        both=F.transform(
+            "pairs",
+            lambda p: F.struct(
+                F.array(*[p["l"][name] for name in fields]).alias("l"),
+                F.array(*[p["r"][name] for name in fields]).alias("r"),
+            ),
+        ),
+    )
+
+    def stats(g: int) -> Column:
+        return F.transform(
+            positions, lambda i: A.let(series_at(F.col(f"rows{g}"), i), A.series_stats)
+        )
+
+    def missing(g: int) -> Column:
+        rows = F.col(f"rows{g}")
+        return F.transform(
+            positions,
+            lambda i: 1
+            - F.size(F.filter(rows, lambda s: F.get(s["v"], i).isNotNull())) / F.size(rows),
+        )
+
+    def pairs_at(i: Column) -> Column:
+        return F.filter(
+            F.transform(
+                "both", lambda p: F.struct(F.get(p["l"], i).alias("x"), F.get(p["r"], i).alias("y"))
+            ),
+            lambda p: p["x"].isNotNull() & p["y"].isNotNull(),
+        )
+
+    def traffic(pairs: Column) -> Column:
+        return A.let(pairs, lambda p: F.struct(A.correlation(p).alias("c"), asymmetry(p).alias("a")))
+
+    staged = ready.select(
         *WINDOW_KEYS,
         "window_start_ns",
         "window_end_ns",
@@ -445,74 +506,40 @@ def feature_rows(
             )
             / F.lit(1e9)
         ).alias("alignment_max_delta_seconds"),
-        *[
-            F.transform(
-                F.array(*[series(samples[g], reading(name)) for name in fields]),
-                A.series_stats,
-            ).alias(f"stats{g}")
-            for g in (0, 1)
-        ],
-        *[
-            F.array(
-                *[
-                    1
-                    - F.size(F.filter(samples[g], supported(name)))
-                    / F.size(samples[g])
-                    for name in fields
-                ]
-            ).alias(f"missing{g}")
-            for g in (0, 1)
-        ],
+        *[stats(g).alias(f"stats{g}") for g in (0, 1)],
+        *[missing(g).alias(f"missing{g}") for g in (0, 1)],
         *[
             F.struct(*[c.alias(n) for n, c in device_summary(samples[g]).items()]).alias(f"dev{g}")
             for g in (0, 1)
         ],
         *[communication(samples[g], gate).alias(f"comm{g}") for g in (0, 1)],
-        F.transform(
-            F.array(*[paired_readings(F.col("pairs"), reading(name)) for name in fields]),
-            cross_stats,
-        ).alias("cross"),
-        A.let(
-            positional_traffic_pairs(samples[0], samples[1]),
-            lambda p: F.struct(A.correlation(p).alias("c"), asymmetry(p).alias("a")),
-        ).alias("by_position"),
-        A.let(
-            paired_readings(F.col("pairs"), total_traffic),
-            lambda p: F.struct(A.correlation(p).alias("c"), asymmetry(p).alias("a")),
-        ).alias("by_time"),
+        F.transform(positions, lambda i: A.let(pairs_at(i), cross_stats)).alias("cross"),
+        traffic(positional_traffic_pairs(samples[0], samples[1])).alias("by_position"),
+        traffic(paired_readings(F.col("pairs"), total_traffic)).alias("by_time"),
     )
     columns = [
-        F.get(f"stats{g}", F.lit(i))[stat].alias(f"gpu{g}__{name}__{stat}")
+        f"stats{g}[{i}].`{stat}` AS `gpu{g}__{name}__{stat}`"
         for g in (0, 1)
         for i, name in enumerate(fields)
         for stat in A.STAT_NAMES
     ]
     columns += [
-        F.get(f"missing{g}", F.lit(i)).alias(f"gpu{g}__{name}__missing_fraction")
+        f"missing{g}[{i}] AS `gpu{g}__{name}__missing_fraction`"
         for g in (0, 1)
         for i, name in enumerate(fields)
     ]
+    columns += [f"dev{g}.`{name}` AS `gpu{g}__{name}`" for g in (0, 1) for name in DEVICE_NAMES]
     columns += [
-        F.col(f"dev{g}.{name}").alias(f"gpu{g}__{name}")
-        for g in (0, 1)
-        for name in (
-            "utilization_idle_fraction",
-            "utilization_duty_cycle",
-            "pcie_total_mean_bytes_per_s",
-            "pcie_tx_rx_ratio",
-        )
-    ]
-    columns += [
-        F.col(f"comm{g}.{name}").alias(f"gpu{g}__pcie_total__{name}")
+        f"comm{g}.`{name}` AS `gpu{g}__pcie_total__{name}`"
         for g in (0, 1)
         for name in COMMUNICATION_NAMES
     ]
     columns += [
-        F.get("cross", F.lit(i))[stat].alias(f"cross_gpu__{name}__{stat}")
+        f"cross[{i}].`{stat}` AS `cross_gpu__{name}__{stat}`"
         for i, name in enumerate(fields)
         for stat in CROSS_NAMES
     ]
-    return staged.select(
+    return staged.selectExpr(
         *WINDOW_KEYS,
         "window_start_ns",
         "window_end_ns",
@@ -521,8 +548,8 @@ def feature_rows(
         "aligned_sample_pairs",
         "alignment_max_delta_seconds",
         *columns,
-        F.col("by_position.c").alias("cross_gpu__pcie_total__correlation"),
-        F.col("by_position.a").alias("cross_gpu__pcie_total__asymmetry"),
-        F.col("by_time.c").alias("cross_gpu__pcie_total__correlation_aligned"),
-        F.col("by_time.a").alias("cross_gpu__pcie_total__asymmetry_aligned"),
+        "by_position.c AS cross_gpu__pcie_total__correlation",
+        "by_position.a AS cross_gpu__pcie_total__asymmetry",
+        "by_time.c AS cross_gpu__pcie_total__correlation_aligned",
+        "by_time.a AS cross_gpu__pcie_total__asymmetry_aligned",
     )
