@@ -15,7 +15,6 @@ T = 0.35
 EXTRA: dict[str, str] = {}
 _CONF = """count(*) FILTER (WHERE y = 1 AND p >= 0.35) AS tp, count(*) FILTER (WHERE y = 0 AND p >= 0.35) AS fp,
        count(*) FILTER (WHERE y = 1 AND p < 0.35) AS fn, count(*) FILTER (WHERE y = 0 AND p < 0.35) AS tn"""
-_D = "CAST({} AS DOUBLE)"
 
 
 def _derived_sql(source: str, keys: str) -> str:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from gaugeworks.catalog.registry import query, r_sql, round_doubles, rounded
 from gaugeworks.functions import arrays as A
 from gaugeworks.operators import windows as W
-from gaugeworks.operators.features import run_level_means
 from gaugeworks.schemas import TELEMETRY_FIELDS
 from gaugeworks.sources.views import view
 
@@ -156,14 +155,6 @@ SELECT run_id, window_seconds, window_index, gpu_index,
          / nullif(avg(CASE WHEN pcie_tx_bytes_per_s IS NOT NULL THEN pcie_rx_bytes_per_s END), 0) AS tx_rx_ratio
 FROM {wsamp} GROUP BY ALL
 """
-_PAIR_PARTS = " UNION ALL ".join(
-    f"""SELECT p.run_id, p.window_seconds, p.window_index, p.pn, '{name}' AS field, {lhs} AS x, {rhs} AS y
-FROM {{pairs}} p
-JOIN {{wsamp}} a ON a.run_id = p.run_id AND a.window_seconds = p.window_seconds AND a.window_index = p.window_index AND a.gpu_index = 0 AND a.rn = p.i
-JOIN {{wsamp}} b ON b.run_id = p.run_id AND b.window_seconds = p.window_seconds AND b.window_index = p.window_index AND b.gpu_index = 1 AND b.rn = p.j
-WHERE p.np >= 2"""
-    for name, lhs, rhs in [(f, f"a.{f}", f"b.{f}") for f in TELEMETRY_FIELDS]
-)
 EXTRA["pair_rows"] = f"""
 SELECT p.run_id, p.window_seconds, p.window_index, p.pn,
        {", ".join(f"a.{f} AS l_{f}, b.{f} AS r_{f}" for f in TELEMETRY_FIELDS)}

@@ -1,4 +1,7 @@
-"""Every registered query with a check in SQL gives the same rows as DuckDB."""
+"""Registered queries with a check in SQL give the same rows as DuckDB.
+
+The two widest ones take long to plan and are left to the full check at the next scale.
+"""
 
 import decimal
 
