@@ -30,3 +30,11 @@ def whole_text(text: str = "text") -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keep_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, text hash) is in ``stay``, one of each; all columns stay."""
+    hashed = docs.withColumn("_hash", F.xxhash64(whole_text()))
+    stay = stay.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_stay")).distinct()
+    same = hashed["doc_id"].eqNullSafe(stay["_id"]) & (hashed["_hash"] == stay["_stay"])
+    return hashed.join(staged(stay, "stay"), same, "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash")

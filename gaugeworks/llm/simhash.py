@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import staged, table, whole_text
+from gaugeworks.llm.common import keep_rows, staged, table, whole_text
 from gaugeworks.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -235,10 +235,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     dropped where a row with one is in its group. All columns are returned as they are."""
     marked = near_duplicates(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first")
-    stay = staged(marked.groupBy("group").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")), "stay")
-    hashed = docs.withColumn("_hash", F.xxhash64(whole_text()))
-    chosen = hashed.join(stay.distinct(), (hashed["doc_id"].eqNullSafe(stay["_id"])) & (hashed["_hash"] == stay["_hash"]), "left_semi")
-    return chosen.dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    stay = marked.groupBy("group").agg(first).select("first.doc_id", "first.text_hash")
+    return keep_rows(docs, stay)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
