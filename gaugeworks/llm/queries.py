@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from gaugeworks.llm.exact import OP1_SQL, op1_exact_dedup
 from gaugeworks.llm.quality import op2_quality
 from gaugeworks.llm.simhash import op9_simhash
+from gaugeworks.llm.urls import OP6_SQL, op6_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
+    "op6_url_filters": op6_url_filters,
     "op9_simhash": op9_simhash,
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
+    "op6_url_filters": OP6_SQL,
 }
