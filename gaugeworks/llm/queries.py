@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gaugeworks.llm.exact import OP1_SQL, op1_exact_dedup
 from gaugeworks.llm.quality import op2_quality
+from gaugeworks.llm.secrets import op7_secret_scans
 from gaugeworks.llm.simhash import op9_simhash
 from gaugeworks.llm.urls import OP6_SQL, op6_url_filters
 
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
     "op6_url_filters": op6_url_filters,
+    "op7_secret_scans": op7_secret_scans,
     "op9_simhash": op9_simhash,
 }
 
