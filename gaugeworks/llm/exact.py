@@ -1,14 +1,14 @@
 """Exact duplicates by deterministic block naming, in DataFrame functions only.
 
 Every text is cut into blocks of a fixed number of characters. Distinct blocks that occur more
-than once are sorted and get whole numbers as names; then adjacent names of a document are paired,
+than once are sorted by their tickets (below) and get whole numbers as names; then adjacent names of a document are paired,
 the distinct pairs sorted and named again, until each document has one name. Equal names of
 documents with equally many blocks mean equal texts, without any collision. A document with a
 block, or a pair, that no other place has is alone and leaves at once.
 
-Block texts travel once, to be counted and sorted. Places refer to them by a pair of 64-bit hashes,
-and the counted blocks themselves show that no two distinct ones share it; otherwise the hashes
-are drawn anew.
+Block texts travel once, to be told apart and counted. Places refer to them by a ticket, a pair of
+64-bit hashes, and the distinct blocks themselves show that no two of them share one; otherwise the
+tickets are drawn anew. So tickets are as good as texts, and sorting them samples no texts.
 """
 
 from __future__ import annotations
@@ -52,10 +52,7 @@ def named_documents(docs: DataFrame, text: str, key: str, chars: int) -> tuple[D
     while True:
         ticket = lambda block: _ticket(block, draw)  # noqa: B023, E731
         counted = docs.select(F.explode(_blocks(body, chars)).alias("block")).groupBy("block").count()
-        counted = staged(
-            counted.select(ticket(F.col("block")).alias("t"), "count", F.when(F.col("count") > 1, F.col("block")).alias("block")).select("t.*", "count", "block"),
-            "blocks",
-        )
+        counted = staged(counted.select(ticket(F.col("block")).alias("t"), "count").select("t.*", "count"), "blocks")
         if counted.groupBy("h1", "h2").count().filter("count > 1").isEmpty():
             break
         draw += 1
@@ -69,7 +66,7 @@ def named_documents(docs: DataFrame, text: str, key: str, chars: int) -> tuple[D
         ),
         "rows",
     )
-    names = _named(counted.filter("count > 1"), ["block"], ["h1", "h2"])
+    names = _named(counted.filter("count > 1"), ["h1", "h2"], ["h1", "h2"])
     places = rows.select("row", F.size("tickets").alias("n_blocks"), F.posexplode("tickets").alias("pos", "t"))
     places = places.select("row", "n_blocks", F.col("n_blocks").alias("n"), "pos", "t.*")
     state = _gathered(places.join(names, ["h1", "h2"]))
