@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugeworks.llm.exact import OP1_SQL, op1_exact_dedup
+from gaugeworks.llm.pieces import op4_sentencepiece
 from gaugeworks.llm.quality import op2_quality
 from gaugeworks.llm.secrets import op7_secret_scans
 from gaugeworks.llm.simhash import op9_simhash
+from gaugeworks.llm.tokens import op5_token_counts
 from gaugeworks.llm.urls import OP6_SQL, op6_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_token_counts": op5_token_counts,
     "op6_url_filters": op6_url_filters,
     "op7_secret_scans": op7_secret_scans,
     "op9_simhash": op9_simhash,
