@@ -13,6 +13,7 @@ from gaugeworks.llm.secrets import op7_secret_scans
 from gaugeworks.llm.simhash import op9_simhash
 from gaugeworks.llm.tokens import op5_token_counts
 from gaugeworks.llm.urls import OP6_SQL, op6_url_filters
+from gaugeworks.llm.warc import OP8_SQL, op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
@@ -21,10 +22,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_url_filters": op6_url_filters,
     "op7_secret_scans": op7_secret_scans,
+    "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op6_url_filters": OP6_SQL,
+    "op8_warc": OP8_SQL,
 }

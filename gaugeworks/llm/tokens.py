@@ -9,19 +9,18 @@ per block. No block needs another one, so a single huge file spreads over all ta
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import tiktoken
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import shared_path, staged, table, whole_text
+from gaugeworks.llm.files import opened, whole_file
 
 RANKS_PATH = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The split pattern that belongs to these ranks, and the id left free for the end of a document.
@@ -37,11 +36,6 @@ def _encoding(ranks: bytes, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=known, special_tokens={})
 
 
-def _opened(uri: str) -> tuple[fs.FileSystem, str]:
-    """Filesystem and path; Hadoop writes local ones as ``file:/``."""
-    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri) if ":" in uri else f"file://{uri}")
-
-
 def write_token_files(docs: DataFrame, folder: str, ranks_path: str = RANKS_PATH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write one flat file per partition to a shared folder; returns (path, ordinal, key).
 
@@ -54,13 +48,9 @@ def write_token_files(docs: DataFrame, folder: str, ranks_path: str = RANKS_PATH
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoding = _encoding(ranks.value, SPLIT_PATTERN)
-        task = TaskContext.get()
-        name = f"part-{task.partitionId():06d}.bin"
-        files, base = _opened(folder)
-        files.create_dir(base)
-        draft = f"{base}/_{name}.{task.taskAttemptId()}"
+        name = f"part-{TaskContext.get().partitionId():06d}.bin"
         at = 0
-        with files.open_output_stream(draft) as out:
+        with whole_file(folder, name) as out:
             for batch in batches:
                 for body in batch["text"]:
                     ids = encoding.encode_ordinary(body)
@@ -68,7 +58,6 @@ def write_token_files(docs: DataFrame, folder: str, ranks_path: str = RANKS_PATH
                     out.write(np.array(ids, TOKEN_TYPE).tobytes())
                 yield pd.DataFrame({"path": name, "ordinal": range(at, at + len(batch)), "key": batch["key"]})
                 at += len(batch)
-        files.move(draft, f"{base}/{name}")
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
@@ -92,7 +81,7 @@ def count_tokens(
             for path, length, at in batch.itertuples(index=False):
                 if length % width:
                     raise ValueError(f"{path}: {length} bytes are no whole number of tokens")
-                source, name = _opened(path)
+                source, name = opened(path)
                 with source.open_input_file(name) as file:
                     ids = np.frombuffer(file.read_at(min(block_bytes, length - at), at), token_type)
                 marks = np.flatnonzero(ids == end)
