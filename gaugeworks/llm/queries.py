@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gaugeworks.llm.decontaminate import op10_decontamination
 from gaugeworks.llm.exact import OP1_SQL, op1_exact_dedup
 from gaugeworks.llm.pieces import op4_sentencepiece
 from gaugeworks.llm.quality import op2_quality
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_scans": op7_secret_scans,
     "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {
