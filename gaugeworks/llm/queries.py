@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gaugeworks.llm.decontaminate import op10_decontamination
 from gaugeworks.llm.exact import OP1_SQL, op1_exact_dedup
+from gaugeworks.llm.passages import op3_repeated_passages
 from gaugeworks.llm.pieces import op4_sentencepiece
 from gaugeworks.llm.quality import op2_quality
 from gaugeworks.llm.secrets import op7_secret_scans
@@ -19,6 +20,7 @@ from gaugeworks.llm.warc import OP8_SQL, op8_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
+    "op3_repeated_passages": op3_repeated_passages,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_token_counts": op5_token_counts,
     "op6_url_filters": op6_url_filters,
