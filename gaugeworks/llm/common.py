@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def keep_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, text hash) is in ``stay``, one of each; all columns stay."""
-    hashed = docs.withColumn("_hash", F.xxhash64(whole_text()))
-    stay = stay.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_stay")).distinct()
-    same = hashed["doc_id"].eqNullSafe(stay["_id"]) & (hashed["_hash"] == stay["_stay"])
-    return hashed.join(staged(stay, "stay"), same, "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    wanted = staged(stay.select(F.col("doc_id").alias("__stay_id"), F.col("text_hash").alias("__stay_hash")).distinct(), "stay")
+    hashed = docs.withColumn("__hash", F.xxhash64(whole_text()))
+    same = F.col("doc_id").eqNullSafe(F.col("__stay_id")) & (F.col("__hash") == F.col("__stay_hash"))
+    return hashed.join(wanted, same, "left_semi").dropDuplicates(["doc_id", "__hash"]).drop("__hash")

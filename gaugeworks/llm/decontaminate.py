@@ -227,7 +227,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Column:
 
 def clean_of_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that leak no item; nothing is shuffled and all columns stay."""
-    return docs.withColumn("_leaks", leaks(docs, benchmark)).filter(F.size("_leaks") == 0).drop("_leaks")
+    return docs.withColumn("__leaks", leaks(docs, benchmark)).filter(F.size("__leaks") == 0).drop("__leaks")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,15 +134,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(good, bad, slope, intercept)
 
 
+def probability(text: Column, model: Model) -> Column:
+    x = resemblance(text, model.good, model.bad)
+    return 1 / (1 + F.exp(-(x * model.slope + model.intercept)))
+
+
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from THRESHOLD on); every row and column stays.
 
     Only the text counts. Null counts as empty, and an empty text gets the score of a difference
     of zero. Equal texts get equal scores. Columns named score or predicted are replaced.
     """
-    x = resemblance(whole_text(text), model.good, model.bad)
-    score = 1 / (1 + F.exp(-(x * model.slope + model.intercept)))
-    marked = docs.withColumn("score", score)
+    marked = docs.withColumn("score", probability(whole_text(text), model))
     return marked.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
@@ -155,4 +158,4 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of ``docs`` that are not rejected, by a model fitted on ``docs`` and the labels."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, model).filter("predicted = 1").select(*docs.columns)
+    return docs.withColumn("__score", probability(whole_text(), model)).filter(F.col("__score") >= THRESHOLD).drop("__score")
