@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.common import staged, table, whole_text
 
 KINDS = ("assign", "access", "hex", "random")
-ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+# The look-ahead only speeds up the search.
+ASSIGN = r"""(?=[PpSsTtAa])((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 PATTERNS = {
     "assign": ASSIGN,
     # A shorter match would fail, and a run of these characters has no other start: same matches.
     "access": "AKIA[A-Z0-9]{12,}",
-    "hex": "[0-9a-f]{32,}",
-    "random": "[A-Za-z0-9+/_=-]{20,}",
+    # Runs from their beginning on: a shorter rest of a run cannot match either.
+    "hex": "(?<![0-9a-f])[0-9a-f]{32,}",
+    "random": "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}",
 }
 MIN_VALUE = 8
 #: Share of false finds to allow, and the p-value under which a token is not uniform.
@@ -46,20 +48,20 @@ _BASE32 = string.ascii_uppercase + "234567"
 _BASE64 = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"
 
 
-def _marks(body: Column, kind: str) -> Column:
-    """Array of (kind, index, gap, token): a match and the length of what precedes it."""
+def _parts(body: Column, kind: str) -> Column:
+    """Array of (kind, i, token, rest): matches from i = 1 on, each with the length of what follows
+    it up to the next one; i = 0 is what precedes the first."""
     # The marks occur in no match, so those of the text itself can be replaced in place.
     clean = F.translate(body, _OPEN + _CLOSE, _OTHER + _OTHER)
     marked = F.regexp_replace(clean, F.lit(PATTERNS[kind]), F.lit(f"{_OPEN}$0{_CLOSE}"))
-    parts = F.split(marked, _OPEN)
-    after = lambda part: F.substring_index(part, _CLOSE, -1)
+    # Each array is made once: lambdas below see their own element only.
     return F.transform(
-        F.filter(F.transform(parts, lambda part, i: F.struct(part.alias("part"), i.alias("i"))), lambda p: p["i"] > 0),
-        lambda p: F.struct(
+        F.split(marked, _OPEN),
+        lambda part, i: F.struct(
             F.lit(KINDS.index(kind)).alias("kind"),
-            p["i"].alias("i"),
-            F.char_length(after(F.get(parts, p["i"] - 1))).alias("gap"),
-            F.substring_index(p["part"], _CLOSE, 1).alias("token"),
+            i.alias("i"),
+            F.when(i > 0, F.substring_index(part, _CLOSE, 1)).alias("token"),
+            F.char_length(F.substring_index(part, _CLOSE, -1)).alias("rest"),
         ),
     )
 
@@ -70,82 +72,112 @@ def _upper_tail(z: Column) -> Column:
     return 1 / (1 + F.exp(1.5976 * bounded + 0.070565 * bounded * bounded * bounded))
 
 
-def battery(token: Column) -> dict[str, Column]:
-    """p_text (small: not ordinary text) and uniform (no test speaks against random symbols)."""
-    plain = F.regexp_replace(F.translate(token, "-_", "+/"), "=+$", "")
-    name = (
-        F.when(plain.rlike("^[0-9]+$"), "decimal")
-        .when(plain.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
-        .when(plain.rlike("^[A-Z2-7]+$"), "base32")
-        .otherwise("base64")
+def with_battery(frame: DataFrame, token: str) -> DataFrame:
+    """``frame`` with encoding, p_text (small: not ordinary text) and uniform (no test speaks
+    against random symbols) of a token column; null for a null token.
+
+    One step builds on the columns of the last, so that no array or count is made twice.
+    """
+    total = lambda array: F.aggregate(array, F.lit(0.0), lambda acc, v: acc + v)
+    c = {name: F.col(f"_{name}") for name in ("plain", "symbols", "alphabet", "n", "size", "squares", "values", "centred", "runs")}
+    frame = frame.withColumn("_plain", F.regexp_replace(F.translate(token, "-_", "+/"), "=+$", ""))
+    frame = frame.withColumn(
+        "encoding",
+        F.when(c["plain"].isNull(), None)
+        .when(c["plain"].rlike("^[0-9]+$"), "decimal")
+        .when(c["plain"].rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
+        .when(c["plain"].rlike("^[A-Z2-7]+$"), "base32")
+        .otherwise("base64"),
+    )
+    alphabet = F.lit(_BASE64)
+    for name, letters in (("decimal", _DECIMAL), ("hex", _HEX), ("base32", _BASE32)):
+        alphabet = F.when(F.col("encoding") == name, letters).otherwise(alphabet)
+    frame = frame.withColumns(
+        {"_symbols": F.when(F.col("encoding") == "hex", F.lower(c["plain"])).otherwise(c["plain"]), "_alphabet": alphabet}
+    )
+    kinds = "U" * 26 + "L" * 26 + "D" * 10 + "SS"
+    runs = F.length(F.regexp_replace(F.translate(c["plain"], _BASE64, kinds), r"(.)\1+", "$1"))
+    frame = frame.withColumns(
+        {
+            "_n": F.length(c["symbols"]).cast("double"),
+            "_size": F.length(c["alphabet"]).cast("double"),
+            "_runs": runs.cast("double"),
+            "_values": F.transform(F.split(c["symbols"], ""), lambda s: F.instr(c["alphabet"], s).cast("double")),
+            "_squares": total(
+                F.transform(
+                    F.split(c["alphabet"], ""),
+                    lambda s: F.pow((F.length(c["symbols"]) - F.length(F.replace(c["symbols"], s, F.lit("")))).cast("double"), F.lit(2.0)),
+                )
+            ),
+        }
     )
-    pick = lambda a, b, c, d: F.when(name == "decimal", a).when(name == "hex", b).when(name == "base32", c).otherwise(d)
-    symbols = F.when(name == "hex", F.lower(plain)).otherwise(plain)
-    alphabet = pick(*(F.lit(x) for x in (_DECIMAL, _HEX, _BASE32, _BASE64)))
-    size = F.length(alphabet).cast("double")
-    n = F.length(symbols).cast("double")
-    squares = F.aggregate(
-        F.split(alphabet, ""),
-        F.lit(0.0),
-        lambda acc, c: acc + F.pow(n - F.length(F.replace(symbols, c, F.lit(""))), F.lit(2.0)),
+    frame = frame.withColumn("_mean", total(c["values"]) / c["n"])
+    frame = frame.withColumn("_centred", F.transform(c["values"], lambda v: v - F.col("_mean")))
+    ahead = F.slice(c["centred"], F.lit(2), F.greatest(F.size(c["centred"]) - 1, F.lit(0)))
+    frame = frame.withColumns(
+        {
+            "_product": total(F.zip_with(c["centred"], ahead, lambda a, b: F.coalesce(a * b, F.lit(0.0)))),
+            "_total": total(F.transform(c["centred"], lambda v: v * v)),
+        }
     )
+    n, squares, free = c["n"], c["squares"], c["size"] - 1
     pairs = n * (n - 1)
     spread = 2 * TEXT_PAIR * (1 - TEXT_PAIR) * pairs + 4 * pairs * (n - 2) * (TEXT_TRIPLE - TEXT_PAIR**2)
-    p_pairs = 1 - _upper_tail((squares - n - TEXT_PAIR * pairs) / F.sqrt(F.greatest(spread, F.lit(1.0))))
-
-    kinds = "U" * 26 + "L" * 26 + "D" * 10 + "SS"
-    runs = F.length(F.regexp_replace(F.translate(plain, _BASE64, kinds), r"(.)\1+", "$1")).cast("double")
     changes = TEXT_CHANGE * (n - 1)
-    p_runs = _upper_tail((runs - 1 - changes - 0.5) / F.sqrt(changes * (1 - TEXT_CHANGE)))
-    fisher = -F.log(F.greatest(p_pairs, F.lit(1e-300))) - F.log(F.greatest(p_runs, F.lit(1e-300)))
-    p_text = F.exp(-fisher) * (1 + fisher)
-
-    chi = size / n * squares - n
-    free = size - 1
-    p_chi = _upper_tail((F.pow(chi / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free)))
-    values = F.transform(F.split(symbols, ""), lambda c: F.instr(alphabet, c).cast("double"))
-    mean = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v) / n
-    ahead = F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(1)))
-    product = F.aggregate(
-        F.zip_with(values, ahead, lambda a, b: F.coalesce((a - mean) * (b - mean), F.lit(0.0))), F.lit(0.0), lambda acc, v: acc + v
+    chi = c["size"] / n * squares - n
+    serial = F.when(F.col("_total") > 0, F.col("_product") / F.col("_total")).otherwise(1.0)
+    frame = frame.withColumns(
+        {
+            "_z_pairs": (squares - n - TEXT_PAIR * pairs) / F.sqrt(F.greatest(spread, F.lit(1.0))),
+            "_z_runs": (c["runs"] - 1 - changes - 0.5) / F.sqrt(changes * (1 - TEXT_CHANGE)),
+            "_z_chi": (F.pow(F.greatest(chi, F.lit(0.0)) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free)),
+            "_z_serial": F.abs(serial + 1 / n) * F.sqrt(n),
+        }
     )
-    total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
-    serial = F.when(total > 0, product / total).otherwise(1.0)
-    p_serial = 2 * _upper_tail(F.abs(serial + 1 / n) * F.sqrt(n))
-    return {"encoding": name, "p_text": p_text, "uniform": (p_chi >= NOT_UNIFORM) & (p_serial >= NOT_UNIFORM)}
+    fisher = -sum(F.log(F.greatest(p, F.lit(1e-300))) for p in (1 - _upper_tail(F.col("_z_pairs")), _upper_tail(F.col("_z_runs"))))
+    frame = frame.withColumn("_fisher", fisher)
+    uniform = (_upper_tail(F.col("_z_chi")) >= NOT_UNIFORM) & (2 * _upper_tail(F.col("_z_serial")) >= NOT_UNIFORM)
+    frame = frame.withColumns({"p_text": F.exp(-F.col("_fisher")) * (1 + F.col("_fisher")), "uniform": uniform})
+    return frame.drop(*(f for f in frame.columns if f.startswith("_")))
 
 
 def spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows (row, key, kind, start, end, p_text, uniform), kind as index in KINDS; a row without
-    spans has one row with a null kind. Failing matches of the fixed patterns are gone; tokens of
+    """Rows (row, key, kind, start, end, p_text, uniform), kind as index in KINDS; every row of
+    ``docs`` has one row more with a null kind. Failing matches of the fixed patterns are gone; tokens of
     the method are all there, apart from those that overlap a span of a fixed pattern."""
     body = whole_text(text)
-    found = F.concat(*(_marks(body, kind) for kind in KINDS))
+    found = F.concat(*(_parts(body, kind) for kind in KINDS))
     # The number is given below the explosion: one for each row of docs.
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), found.alias("found"))
-    rows = rows.select("row", "key", F.explode_outer("found").alias("m"))
+    rows = rows.select("row", "key", F.explode("found").alias("m")).select("row", "key", "m.*")
     value = F.length(F.regexp_extract("token", PATTERNS["assign"], 2))
-    tests = battery(F.col("token"))
     random = F.col("kind") == KINDS.index("random")
-    rows = rows.select("row", "key", "m.*").select(
-        "row", "key", "kind", "i", "gap", F.char_length("token").alias("size"),
-        F.when(F.col("kind") == 0, value >= MIN_VALUE).otherwise(True).alias("holds"),
-        *(F.when(random, tests[c]).alias(c) for c in ("p_text", "uniform")),
+    tested = random & F.col("token").isNotNull()
+    size = F.coalesce(F.char_length("token"), F.lit(0))
+    rows = rows.select(
+        "row", "key", "kind", "i", size.alias("size"), (size + F.col("rest")).alias("step"),
+        F.when(F.col("i") == 0, False).when(F.col("kind") == 0, value >= MIN_VALUE).otherwise(True).alias("holds"),
+        F.when(tested, F.col("token")).alias("token"),
     )
-    order = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.col("gap") + F.col("size")).over(order)
-    placed = rows.repartition("row").withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
-    placed = placed.filter("kind IS NULL OR holds")
-    base_end = F.when(~random, F.col("end"))
-    base_start = F.when(~random, F.col("start"))
+    rows = with_battery(rows, "token").drop("token", "encoding")
+    before = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.repartition("row").withColumn("start", F.coalesce(F.sum("step").over(before), F.lit(0)))
+    placed = placed.withColumn("end", F.col("start") + F.col("size"))
+    # One row without a span keeps the document.
+    first = (F.col("kind") == 0) & (F.col("i") == 0)
+    placed = placed.filter(F.col("holds") | first)
+    placed = placed.withColumn("kind", F.when(F.col("i") > 0, F.col("kind")))
+    random = F.coalesce(random, F.lit(False))
+    base = F.col("kind") < KINDS.index("random")
+    base_end = F.when(base, F.col("end"))
+    base_start = F.when(base, F.col("start"))
     by_start = Window.partitionBy("row").orderBy("start", "kind")
     reached = F.max(base_end).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     # Spans of the method do not overlap each other, so one order serves for both directions.
     ahead = F.min(base_start).over(by_start.rowsBetween(1, Window.unboundedFollowing))
     overlap = random & (F.coalesce(reached > F.col("start"), F.lit(False)) | F.coalesce(ahead < F.col("end"), F.lit(False)))
     placed = placed.withColumn("overlap", overlap)
-    # A document whose every token overlaps has a base span; one without any has a null kind.
-    return placed.filter("kind IS NULL OR NOT overlap").select("row", "key", "kind", "start", "end", "p_text", "uniform")
+    return placed.filter("NOT overlap").select("row", "key", "kind", "start", "end", "p_text", "uniform")
 
 
 def discoveries(found: DataFrame) -> DataFrame:

@@ -136,7 +136,8 @@ def shard(prints: DataFrame, radius: int = LINK_BITS, target: int = SHARD_ROWS)
     spark = prints.sparkSession
     done = None
     open_ = prints.select(F.lit("").alias("shard"), "fp")
-    sizes = {"": open_.count()}
+    rows = open_.count()
+    sizes = {"": rows} if rows else {}
     while sizes:
         share = min(1.0, SAMPLE_ROWS / sum(sizes.values()))
         bound = int(share * 2**31)
