@@ -23,6 +23,12 @@ def staged(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def spread(frame: DataFrame, *keys: str) -> DataFrame:
+    """Deal small rows that stand for much work over as many tasks as a shuffle has; a number that
+    is given is not coalesced by the size of the rows."""
+    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def whole_text(text: str = "text") -> Column:
     """The text with null as empty."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

@@ -106,7 +106,9 @@ def _dictionary(spark: SparkSession, docs: DataFrame, labels: DataFrame, label:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a lightly regularised logistic curve (Newton steps)."""
+    """Slope and intercept of a lightly regularised logistic curve (Newton steps); flat without rows."""
+    if not len(x):
+        return 0.0, 0.0
     scale = float(np.std(x)) or 1.0
     design = np.column_stack([x / scale, np.ones(len(x))])
     w = np.zeros(2)

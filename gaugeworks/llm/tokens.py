@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import shared_path, staged, table, whole_text
+from gaugeworks.llm.common import shared_path, spread, staged, table, whole_text
 from gaugeworks.llm.files import opened, whole_file
 
 RANKS_PATH = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -90,7 +90,7 @@ def count_tokens(
                 yield pd.DataFrame({"path": [path], "at": [at], "marks": [len(marks)], "gaps": [gaps], "tail": [tail]})
 
     cut = staged(
-        blocks.repartition("path", "at").mapInPandas(search, "path string, at long, marks long, gaps array<long>, tail long"),
+        spread(blocks, "path", "at").mapInPandas(search, "path string, at long, marks long, gaps array<long>, tail long"),
         "token-blocks",
     )
     before = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)

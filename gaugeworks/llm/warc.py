@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import shared_path, staged, table
+from gaugeworks.llm.common import shared_path, spread, staged, table
 from gaugeworks.llm.files import opened, whole_file
 
 #: Bytes after which a writer starts a new file; a reader holds one file at a time.
@@ -140,7 +140,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                 if found:
                     yield pd.DataFrame(found, columns=_COLUMNS)
 
-    return files.repartition("path").mapInPandas(read, _RECORD)
+    return spread(files, "path").mapInPandas(read, _RECORD)
 
 
 _COLUMNS = [field.split(" ")[0] for field in _RECORD.split(", ")]
