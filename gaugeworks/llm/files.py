@@ -20,8 +20,14 @@ def whole_file(folder: str, name: str) -> Iterator[NativeFile]:
     """A file that gets its name only when it is whole. A repeated task writes the same bytes under
     the same name, so a lost or doubled attempt leaves no other trace than an unused draft."""
     files, base = opened(folder)
-    files.create_dir(base)
     draft = f"{base}/_{name}.{TaskContext.get().taskAttemptId()}"
     with files.open_output_stream(draft) as out:
         yield out
     files.move(draft, f"{base}/{name}")
+
+
+def made_folder(uri: str) -> str:
+    """The folder, there even if nothing will be written to it."""
+    files, base = opened(uri)
+    files.create_dir(base)
+    return uri

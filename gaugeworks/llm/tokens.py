@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import shared_path, spread, staged, table, whole_text
-from gaugeworks.llm.files import opened, whole_file
+from gaugeworks.llm.files import made_folder, opened, whole_file
 
 RANKS_PATH = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The split pattern that belongs to these ranks, and the id left free for the end of a document.
@@ -59,6 +59,7 @@ def write_token_files(docs: DataFrame, folder: str, ranks_path: str = RANKS_PATH
                 yield pd.DataFrame({"path": name, "ordinal": range(at, at + len(batch)), "key": batch["key"]})
                 at += len(batch)
 
+    made_folder(folder)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
     return staged(rows.mapInPandas(write, f"path string, ordinal long, key {kind}"), "token-rows")

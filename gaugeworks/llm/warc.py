@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import shared_path, spread, staged, table
-from gaugeworks.llm.files import opened, whole_file
+from gaugeworks.llm.files import made_folder, opened, whole_file
 
 #: Bytes after which a writer starts a new file; a reader holds one file at a time.
 FILE_BYTES = 64 << 20
@@ -75,6 +75,7 @@ def write_warc(pages: DataFrame, folder: str, damage: Callable[[object, bytes],
             yield pd.DataFrame(index, columns=["path", "offset", "page_id"]).astype({"page_id": "Int64"})
             number += 1
 
+    made_folder(folder)
     rows = pages.select(F.col("page_id").cast("long"), "url", "html")
     return staged(rows.mapInPandas(write, "path string, offset long, page_id long"), "warc-index")
 
