@@ -18,18 +18,22 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gaugeworks.llm.common import table, whole_text
+from gaugeworks.llm.common import table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: An unknown character costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Units remembered by a worker before it forgets them; speed only.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
+#: Rows whose ids a worker holds at a time.
+SLICE_ROWS = 256
 
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -147,19 +151,6 @@ def _codec(vocabulary: Vocabulary) -> Codec:
     return Codec(vocabulary)
 
 
-def encoded(text: Column, spark: SparkSession, vocabulary: Vocabulary) -> Column:
-    """Array of ids of a whole text; null counts as empty."""
-    shared = spark.sparkContext.broadcast(vocabulary)
-
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = _codec(shared.value)
-        for texts in batches:
-            yield pd.Series([codec.encode(t or "") for t in texts], dtype=object)
-
-    return encode.asNondeterministic()(text)
-
-
 def decoded(ids: Column, spark: SparkSession, vocabulary: Vocabulary) -> Column:
     """Text of an array of ids; null counts as empty."""
     shared = spark.sparkContext.broadcast(vocabulary)
@@ -173,21 +164,39 @@ def decoded(ids: Column, spark: SparkSession, vocabulary: Vocabulary) -> Column:
     return decode.asNondeterministic()(ids)
 
 
-def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
-    """``docs`` with n_pieces and piece_ids; all rows and other columns stay as they are."""
-    ids = encoded(whole_text(text), docs.sparkSession, vocabulary)
-    return docs.withColumn("piece_ids", ids).withColumn("n_pieces", F.size("piece_ids").cast("long"))
+def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", verify: bool = False) -> DataFrame:
+    """``docs`` with piece_ids and n_pieces; all rows and other columns stay as they are.
+
+    Null text counts as empty. With ``verify`` also round_trip: whether decoding gives the text
+    back, space marks of its own read as spaces. Columns of these names are replaced.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    added = [T.StructField("piece_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_pieces", T.LongType())]
+    added += [T.StructField("round_trip", T.BooleanType())] if verify else []
+    docs = docs.drop(*(f.name for f in added))
+    at = docs.columns.index(text)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(shared.value)
+        for batch in batches:
+            # Few rows at a time: ids take more room than their texts.
+            for first in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(first, SLICE_ROWS)
+                texts = [t or "" for t in rows.column(at).to_pylist()]
+                ids = [codec.encode(t) for t in texts]
+                sizes = np.array([len(i) for i in ids], np.int64)
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                columns = [*rows.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array(sizes)]
+                if verify:
+                    columns.append(pa.array([codec.decode(i) == t.replace(SPACE, " ") for i, t in zip(ids, texts, strict=True)]))
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *(f.name for f in added)])
+
+    return docs.mapInArrow(encode, T.StructType([*docs.schema.fields, *added]))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of the ids, and whether decoding gives the text back (with marks read as spaces)."""
-    vocabulary = load_vocabulary()
-    docs = table(spark, sf_dir, "documents").select("doc_id", whole_text().alias("text"))
-    found = encode_documents(docs, vocabulary)
-    found = found.withColumn("back", decoded(F.col("piece_ids"), spark, vocabulary))
-    return found.select(
-        "doc_id",
-        "n_pieces",
-        F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        (F.col("back") == F.translate("text", SPACE, " ")).alias("round_trip"),
-    )
+    """Number and digest of the ids, and whether decoding gives the text back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = encode_documents(docs, load_vocabulary(), verify=True)
+    digest = F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), ","), 256)
+    return found.select("doc_id", "n_pieces", digest.alias("ids_sha256"), "round_trip")
