@@ -57,15 +57,22 @@ def manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "rank_evidence_violations",
     "S-06 F-11",
-    """SELECT run_id, concat_ws(',', CASE WHEN k % 449 = 16 THEN 'rounds_not_as_expected' END,
-              CASE WHEN k % 461 = 18 THEN 'ranks_disagree' END, CASE WHEN k % 457 = 17 THEN 'metric_not_finite' END,
-              CASE WHEN k % 463 = 19 THEN 'score_present' END) AS violations
+    """SELECT run_id, CASE WHEN k % 59 = 21 THEN 'rank_missing' ELSE concat_ws(',', CASE WHEN k % 449 = 16 THEN 'rounds_not_as_expected' END,
+              CASE WHEN k % 461 = 18 THEN 'ranks_disagree' END, CASE WHEN k % 61 = 17 THEN 'metric_not_finite' END,
+              CASE WHEN k % 463 = 19 THEN 'score_present' END) END AS violations
        FROM (SELECT *, CAST(substr(run_id, 5) AS BIGINT) AS k FROM {manifests}) m
        WHERE designation = 'adversarial' AND exit_status = 'completed' AND participation_valid AND schema_version = '2.0'""",
     EXTRA,
 )
 def rank_evidence_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.rank_evidence_problems(view(spark, sf_dir, "manifests")).withColumn(
+    # Runs without evidence, and a loss beyond all numbers; null losses are in the view already.
+    k = F.substring("run_id", 5, 20).cast("long")
+    config = (
+        F.when(k % 59 == 21, '{"mode":"train"}')
+        .when(k % 61 == 17, F.regexp_replace("config", '"final_loss_proxy":[0-9a-z]+', '"final_loss_proxy":1e999'))
+        .otherwise(F.col("config"))
+    )
+    return R.rank_evidence_problems(view(spark, sf_dir, "manifests").withColumn("config", config)).withColumn(
         "violations", F.array_join("violations", ",")
     )
 
@@ -216,10 +223,11 @@ def config_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "identifiers_and_paths",
     "P-24 F-08 F-09",
-    """SELECT page_id, trim(regexp_replace(lower(url), '[^a-z0-9._-]+', '-', 'g'), '-') AS identifier,
+    """SELECT page_id, nullif(trim(regexp_replace(trim(u, ' '), '[^A-Za-z0-9._-]+', '-', 'g'), '-.'), '') AS identifier,
               length(p) > 0 AND NOT starts_with(p, '/') AND NOT list_contains(string_split(p, '/'), '..') AS safe_path,
               regexp_matches(sha256(url), '^[0-9a-f]{64}$') AS is_digest
-       FROM (SELECT *, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN '/' || url WHEN 2 THEN url || '/../x' ELSE url || '/..x' END AS p FROM {pages}) q""",
+       FROM (SELECT *, CASE WHEN page_id % 10 = 3 THEN '.-' || substr(url, 1, 1) || '.A-.' WHEN page_id % 10 = 7 THEN '...' ELSE url END AS u,
+                    CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN '/' || url WHEN 2 THEN url || '/../x' ELSE url || '/..x' END AS p FROM {pages}) q""",
     EXTRA,
 )
 def identifiers_and_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,9 +238,12 @@ def identifiers_and_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 2, F.concat(url, F.lit("/../x")))
         .otherwise(F.concat(url, F.lit("/..x")))
     )
+    # Ends to strip, and a text of which nothing is left.
+    tens = F.col("page_id") % 10
+    raw = F.when(tens == 3, F.concat(F.lit(".-"), F.substring(url, 1, 1), F.lit(".A-."))).when(tens == 7, "...").otherwise(url)
     return base_table(spark, sf_dir, "pages").select(
         "page_id",
-        R.identifier(url).alias("identifier"),
+        R.identifier(raw).alias("identifier"),
         R.safe_relative_path(path).alias("safe_path"),
         F.sha2(url, 256).rlike("^[0-9a-f]{64}$").alias("is_digest"),
     )

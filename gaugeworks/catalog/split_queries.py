@@ -202,6 +202,8 @@ def split_run_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
               (SELECT count(*) FROM (SELECT run_id FROM (SELECT run_id, split FROM {stratified} UNION ALL
                  SELECT run_id, CASE WHEN violations <> '' THEN 'train' ELSE NULL END FROM {grp}) u GROUP BY run_id
                  HAVING min(split) <> max(split)) q) AS split_leak_runs,
+              (SELECT count(DISTINCT run_id) FROM {feature_index} WHERE run_id NOT IN
+                 (SELECT run_id FROM {stratified} WHERE split IS NOT NULL)) AS runs_without_split,
               (SELECT count(DISTINCT l) > 1 FROM (SELECT target_label, list(DISTINCT window_seconds ORDER BY window_seconds) AS l
                  FROM {feature_index} GROUP BY target_label) z) AS class_specific_window_lengths,
               (SELECT count(DISTINCT run_id) FROM {feature_index}

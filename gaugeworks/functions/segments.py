@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.session import cut_lineage
+
 
 def with_segment(frame: DataFrame, order: str, width: int) -> DataFrame:
     """Segment number of each row; ``order`` is a whole number, ``width`` its units per segment."""
@@ -99,3 +101,21 @@ def running_totals(
         )
         result = result.drop(*[f"_o_{n}" for n in names])
     return result.drop(*levels, *[f"_v_{n}" for n in names])
+
+
+def row_numbers(frame: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """Numbers from 0 in the order of all rows, whatever their values look like.
+
+    Spark's range partitioning cuts the order by the data; what is gathered is one row per
+    partition. The numbered rows are written before they are used, so a task that runs again
+    cannot number differently.
+    """
+    ranked = frame.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranked = cut_lineage(ranked.withColumn("_at", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranked.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    # One row per partition of a shuffle.
+    numbered = ranked.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return numbered.withColumn(name, F.col("_offset") + inside).drop("_at", "_part", "_offset")

@@ -98,19 +98,27 @@ def class_weights(train: DataFrame, label: str) -> Column:
     return expression
 
 
-def estimator(name: str, total_weight: float, trees: int = 300):
+#: Spark grows no deeper tree than this; the forest has no other depth limit.
+DEEPEST = 30
+#: Candidate cuts per feature, and Newton steps of the logistic regression at most.
+BINS = 256
+ITERATIONS = 2000
+
+
+def estimator(name: str, total_weight: float, trees: int = 300, bins: int = BINS, iterations: int = ITERATIONS):
     shared = {"featuresCol": "features", "labelCol": "y", "weightCol": "w", "probabilityCol": "probability"}
     if name == "logistic_regression":
         # The penalty of the summed loss at C = 1, for Spark's averaged loss.
         return LogisticRegression(
-            maxIter=200, regParam=1.0 / total_weight, elasticNetParam=0.0, standardization=False, **shared
+            maxIter=iterations, regParam=1.0 / total_weight, elasticNetParam=0.0, standardization=False, **shared
         )
     if name == "shallow_decision_tree":
-        return DecisionTreeClassifier(maxDepth=3, minInstancesPerNode=2, seed=SEED, **shared)
+        return DecisionTreeClassifier(maxDepth=3, maxBins=bins, minInstancesPerNode=2, seed=SEED, **shared)
     if name == "random_forest":
         return RandomForestClassifier(
             numTrees=trees,
-            maxDepth=10,
+            maxDepth=DEEPEST,
+            maxBins=bins,
             minInstancesPerNode=2,
             featureSubsetStrategy="sqrt",
             seed=SEED,

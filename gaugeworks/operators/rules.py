@@ -79,7 +79,10 @@ def rank_evidence(manifests: DataFrame) -> DataFrame:
 
 
 def rank_evidence_problems(manifests: DataFrame) -> DataFrame:
-    """Problems of completed adversarial runs: rounds, agreement of ranks, finite metrics, no score."""
+    """Problems of completed adversarial runs: rounds, agreement of ranks, finite metrics, no score.
+
+    A loss may be null. A run without any evidence has a row too: both its ranks are missing.
+    """
     wanted = manifests.where(
         (F.col("designation") == "adversarial")
         & (F.col("exit_status") == "completed")
@@ -91,17 +94,18 @@ def rank_evidence_problems(manifests: DataFrame) -> DataFrame:
         F.min("actual_sync_rounds").alias("low"),
         F.max("actual_sync_rounds").alias("high"),
         F.bool_or(F.col("actual_sync_rounds") != F.col("expected_sync_rounds")).alias("off"),
-        F.bool_or(F.col("final_loss_proxy").isNull() | F.isnan("final_loss_proxy")).alias("gap"),
+        F.bool_or(F.isnan("final_loss_proxy") | (F.abs("final_loss_proxy") == float("inf"))).alias("gap"),
         F.bool_or(F.col("detector_score").isNotNull()).alias("scored"),
     )
     rules = {
-        "rank_missing": F.col("ranks") != 2,
+        "rank_missing": F.coalesce(F.col("ranks"), F.lit(0)) != 2,
         "rounds_not_as_expected": F.col("off"),
         "ranks_disagree": F.col("low") != F.col("high"),
         "metric_not_finite": F.col("gap"),
         "score_present": F.col("scored"),
     }
-    return facts.select("run_id", violations(rules).alias("violations"))
+    every = wanted.select("run_id").distinct().join(facts, "run_id", "left")
+    return every.select("run_id", violations(rules).alias("violations"))
 
 
 def migrate_legacy(manifests: DataFrame) -> DataFrame:
@@ -236,8 +240,10 @@ def identity_hash(config_json: Column) -> Column:
 
 
 def identifier(text: Column) -> Column:
-    """Lower-case identifier of letters, digits, dot, underscore and dash."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9._-]+", "-"), F.lit("-"))
+    """Letters, digits, dot, underscore and dash, without dots and dashes at the ends; null where
+    nothing is left, which is no identifier."""
+    kept = F.regexp_replace(F.trim(text), r"[^A-Za-z0-9._-]+", "-")
+    return F.nullif(F.regexp_replace(kept, r"^[-.]+|[-.]+$", ""), F.lit(""))
 
 
 def safe_relative_path(path: Column) -> Column:

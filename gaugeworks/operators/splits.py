@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.segments import running_totals
+from gaugeworks.functions.segments import row_numbers, running_totals
 from gaugeworks.schemas import SPLITS
 
 SEED = 20260730
@@ -269,15 +269,9 @@ def leave_one_group_out(groups: DataFrame, group_field: str) -> DataFrame:
     """Test fold of every run when each group is a fold of its own, folds in sorted group order."""
     keyed = groups.withColumn("_group", F.col(group_field).cast("string"))
     names = keyed.select("_group").distinct()
-    numbered = running_totals(
-        names,
-        [],
-        ["_group"],
-        [F.substring("_group", 1, 2), F.substring("_group", 1, 12)],
-        {"rows": F.lit(1)},
-    )
+    numbered = row_numbers(names, ["_group"], "_fold")
     return keyed.join(numbered, "_group").select(
-        "run_id", F.col("_group").alias("fold_group"), F.col("rows_before").alias("test_fold")
+        "run_id", F.col("_group").alias("fold_group"), F.col("_fold").alias("test_fold")
     )
 
 
@@ -357,9 +351,11 @@ def choose_strategy(groups: DataFrame, required_families: Sequence[str], mode: s
 
 
 def audit_leakage(rows: DataFrame, feature_columns: Sequence[str], assignments: DataFrame) -> DataFrame:
-    """One row: forbidden columns, runs in several splits, unequal window lengths, ambiguous runs.
+    """One row: forbidden columns, runs in several splits or in none, unequal window lengths,
+    ambiguous runs.
 
-    ``assignments`` may hold more than one row per run; that is the leak looked for.
+    ``assignments`` may hold more than one row per run; that is the leak looked for. Every run
+    with rows must have exactly one split.
     """
     forbidden = sorted(
         c for c in feature_columns if any(token in c.lower() for token in FORBIDDEN_TOKENS)
@@ -369,6 +365,10 @@ def audit_leakage(rows: DataFrame, feature_columns: Sequence[str], assignments:
         .agg((F.min("split") != F.max("split")).alias("leak"))
         .agg(F.count_if("leak").alias("split_leak_runs"))
     )
+    placed = assignments.where("split IS NOT NULL").select("run_id").distinct()
+    unplaced = rows.select("run_id").distinct().join(placed, "run_id", "left_anti").agg(
+        F.count(F.lit(1)).alias("runs_without_split")
+    )
     # Distinct (label, length) cells are few; only those are gathered.
     lengths = (
         rows.select("target_label", "window_seconds")
@@ -390,16 +390,18 @@ def audit_leakage(rows: DataFrame, feature_columns: Sequence[str], assignments:
     one = F.lit(1).alias("_one")
     joined = leaks.select("*", one).join(lengths.select("*", one), "_one").join(
         ambiguous.select("*", one), "_one"
-    )
+    ).join(unplaced.select("*", one), "_one")
     clean = (
         (F.lit(len(forbidden)) == 0)
         & (F.col("split_leak_runs") == 0)
+        & (F.col("runs_without_split") == 0)
         & ~F.col("class_specific_window_lengths")
         & (F.col("ambiguous_runs") == 0)
     )
     return joined.select(
         F.lit(",".join(forbidden)).alias("forbidden_columns"),
         "split_leak_runs",
+        "runs_without_split",
         "class_specific_window_lengths",
         "ambiguous_runs",
         clean.alias("passed"),

@@ -117,29 +117,47 @@ def evaluate_detector(
     }
 
 
+def missing_for_fit(counts: dict[tuple[str, int], int]) -> str | None:
+    """Why a split cannot be fitted and judged; ``counts`` are rows per (split, class)."""
+    if sum(counts.get(("train", y), 0) > 0 for y in (0, 1)) < 2:
+        return "the training part does not have both classes"
+    empty = [s for s in ("validation", "test") if not any(counts.get((s, y)) for y in (0, 1))]
+    return f"no rows in the {' and '.join(empty)} part" if empty else None
+
+
 def evaluate_holdouts(
     frame: DataFrame,
     field: str,
     columns: Sequence[str],
-    values: Sequence[str],
-    models: Sequence[str] = ("shallow_decision_tree",),
+    models: Sequence[str] = D.ML_MODELS,
     trees: int = 300,
 ) -> DataFrame:
-    """Candidate metrics with each listed value held out in turn; diagnostic only.
+    """Test metrics of every candidate with each value of ``field`` held out in turn; diagnostic only.
 
-    The values are registry families or configurations, a short list; each turn is a fit.
+    A value whose split cannot be fitted and judged has one row with status insufficient_data
+    and its reason. Each value is a fit; the driver sees the list of values, which the registry
+    bounds, and row counts per split and class.
     """
+    spark = frame.sparkSession
+    frame = cut_lineage(frame.drop("split"))
     groups = cut_lineage(S.valid_groups(frame))
-    result = None
+    values = sorted(r[0] for r in groups.select(field).distinct().collect() if r[0] is not None)
+    result, lacking = None, []
     for value in values:
         assigned = S.holdout_split(groups, field, value).select("run_id", "split")
-        rows = frame.drop("split").join(assigned, "run_id")
+        rows = frame.join(assigned, "run_id")
+        found = rows.groupBy("split", "y").agg(F.count(F.lit(1)).alias("n")).collect()
+        reason = missing_for_fit({(r["split"], r["y"]): r["n"] for r in found})
+        if reason is not None:
+            lacking.append((str(value), "insufficient_data", reason))
+            continue
         scores = D.score_candidates(rows, columns, models, trees)
         table = M.derived(
             scores.where("split = 'test'").groupBy("model").agg(*M.confusion(0.5))
-        ).withColumn("holdout_value", F.lit(value))
+        ).withColumns({"holdout_value": F.lit(str(value)), "status": F.lit("evaluated_diagnostic"), "reason": F.lit("")})
         result = table if result is None else result.unionByName(table)
-    return result
+    rest = spark.createDataFrame(lacking, "holdout_value string, status string, reason string")
+    return rest if result is None else result.unionByName(rest, allowMissingColumns=True)
 
 
 def evaluate_by_window_length(
