@@ -10,7 +10,7 @@ next: units are searched one by one and remembered.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -31,10 +31,11 @@ SPACE = "▁"
 #: An unknown character costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Units remembered by a worker before it forgets them; speed only.
-REMEMBERED = 100_000
+REMEMBERED = 400_000
 #: Rows whose ids a worker holds at a time.
 SLICE_ROWS = 256
 
+_UNREACHED = float("-inf")
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -61,6 +62,23 @@ def load_vocabulary(path: str = MODEL_PATH) -> Vocabulary:
     return found
 
 
+class _Memory(dict):
+    """Units and their ids; a unit that is not there is searched."""
+
+    def __init__(self, search: Callable[[str], tuple[int, ...]]):
+        super().__init__()
+        self.search = search
+
+    def __missing__(self, unit: str) -> tuple[int, ...]:
+        ids = self.search(unit)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        # A very long unit is not worth its room.
+        if len(unit) <= 64:
+            self[unit] = ids
+        return ids
+
+
 class Codec:
     """Encoder and decoder of one vocabulary."""
 
@@ -68,6 +86,7 @@ class Codec:
         self.automaton = ahocorasick.Automaton()
         self.singles = set()
         self.bytes_of = []
+        self.lengths = [len(p) for p in vocabulary.pieces]
         byte_ids = {}
         self.unknown = vocabulary.kinds.index("u")
         worst = 0.0
@@ -85,58 +104,51 @@ class Codec:
         self.automaton.make_automaton()
         self.unknown_score = worst - UNKNOWN_PENALTY
         self.byte_ids = byte_ids if len(byte_ids) == 256 else None
-        self.memory: dict[str, tuple[int, ...]] = {}
+        self.memory = _Memory(self.search)
 
     def search(self, unit: str) -> tuple[int, ...]:
         """Ids of the best segmentation; of equal scores the one whose later pieces are longer."""
         size = len(unit)
-        best = [0.0] + [float("-inf")] * size
-        step: list[tuple[int, int]] = [(0, -1)] * (size + 1)
-        done = 0
-
-        def advance(to: int) -> None:
-            nonlocal done
-            while done < to:
-                done += 1
-                if unit[done - 1] not in self.singles:
-                    best[done] = best[done - 1] + self.unknown_score
-                    step[done] = (1, self.unknown)
-
+        best = [0.0] + [_UNREACHED] * size
+        step = [self.unknown] * (size + 1)
+        done = 0 if not self.singles.issuperset(unit) else size
         for last, (length, piece, score) in self.automaton.iter(unit):
             end = last + 1
-            advance(end)
+            if done < end:
+                done = self._over_unknown(unit, best, done, end)
             reached = best[end - length] + score
             if reached > best[end]:
                 best[end] = reached
-                step[end] = (length, piece)
-        advance(size)
+                step[end] = piece
+        self._over_unknown(unit, best, done, size)
         found: list[int] = []
         while size:
-            length, piece = step[size]
-            if piece == self.unknown and self.byte_ids is not None:
-                found += [self.byte_ids[b] for b in reversed(unit[size - 1].encode("utf-8", "replace"))]
+            piece = step[size]
+            if piece == self.unknown:
+                size -= 1
+                if self.byte_ids is None:
+                    found.append(piece)
+                else:
+                    found += [self.byte_ids[b] for b in reversed(unit[size].encode("utf-8", "replace"))]
             else:
                 found.append(piece)
-            size -= length
-        return tuple(reversed(found))
-
-    def _remembered(self, unit: str) -> tuple[int, ...]:
-        ids = self.memory.get(unit)
-        if ids is None:
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
-            ids = self.search(unit)
-            # A very long unit is not worth its room.
-            if len(unit) <= 64:
-                self.memory[unit] = ids
-        return ids
+                size -= self.lengths[piece]
+        found.reverse()
+        return tuple(found)
+
+    def _over_unknown(self, unit: str, best: list[float], done: int, end: int) -> int:
+        """Positions behind characters that are no piece are reached at the unknown score."""
+        for at in range(done, end):
+            if unit[at] not in self.singles:
+                best[at + 1] = best[at] + self.unknown_score
+        return max(done, end)
 
     def encode(self, text: str) -> np.ndarray:
         """A space is put before the text, and spaces become marks; an empty text has no pieces."""
         if not text:
             return np.zeros(0, np.int32)
         units = _UNIT.findall(SPACE + text.replace(" ", SPACE))
-        return np.fromiter(chain.from_iterable(map(self._remembered, units)), np.int32)
+        return np.fromiter(chain.from_iterable(map(self.memory.__getitem__, units)), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text; bytes that are not UTF-8 become U+FFFD, and ids outside the vocabulary fail."""
