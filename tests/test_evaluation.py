@@ -121,3 +121,18 @@ def test_calibration_gate_blocks(spark, frame):
     closed = spark.createDataFrame([(1, False)], "sweep_id int, capture_gate_passed boolean")
     with pytest.raises(V.GateError):
         V.evaluate_detector(frame, frame, closed, COLUMNS, ("f0",), 30.0)
+
+
+def test_a_run_without_split_is_seen(frame):
+    split = frame.select("run_id", "split").distinct().where("run_id <> 4")
+    audit = S.audit_leakage(frame, COLUMNS, split).first()
+    assert audit["runs_without_split"] == 1 and not audit["passed"]
+
+
+def test_every_holdout_value_has_rows(frame):
+    table = V.evaluate_holdouts(frame, "workload_family", COLUMNS, ("shallow_decision_tree",))
+    found = {r["holdout_value"]: (r["status"], r["reason"]) for r in table.collect()}
+    # Each family is one class: nothing of it is left to learn from.
+    assert found == {f: ("insufficient_data", "the training part does not have both classes") for f in ("f0", "f1")}
+    configs = V.evaluate_holdouts(frame, "workload_config_id", COLUMNS, ("shallow_decision_tree",))
+    assert {r["holdout_value"] for r in configs.where("status = 'evaluated_diagnostic'").collect()} == {f"c{i}" for i in range(18)}

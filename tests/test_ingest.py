@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import ingest as I
+from gaugeworks.operators import signing
 from gaugeworks.operators.signing import hmac_sha256, padded_keys, signing_keys
-from gaugeworks.schemas import FIELD_UNITS
+from gaugeworks.schemas import FIELD_UNITS, TELEMETRY_FIELDS
 from gaugeworks.streaming import ingest as ST
 
 SECRET = "top"
@@ -208,8 +209,49 @@ def test_window_means_stream(spark, registry):
 def test_decisions(spark):
     rows = [(1, True, 0, 0, 0.9), (2, True, 0, 0, 0.55), (3, False, 1, 2, 0.9), (4, True, 0, 0, 1.5)]
     frame = spark.createDataFrame(rows, "window_start_us bigint, complete boolean, missing_nodes int, missing_agents int, score double")
-    found = {r["window_start_us"]: (r["score"], r["abstained"], r["reason"]) for r in I.decide(frame, 0.5, 0.1).collect()}
+    found = {r["window_start_us"]: (r["score"], r["abstained"], r["reason"]) for r in I.decide(frame, lambda w: w["score"], 0.5, 0.1).collect()}
     assert found[1] == (0.9, False, "score_outside_margin")
     assert found[2] == (0.55, True, "score_within_abstention_margin")
     assert found[3] == (None, True, "missing_nodes=1 missing_agents=2")
     assert found[4] == (None, True, "score_out_of_range")
+
+
+def test_key_order_and_spacing_do_not_matter(spark, registry):
+    body = batch(0)
+    raw = json.dumps(dict(reversed(body.items())), indent=2)
+    signature = hmac.new(SECRET.encode(), json.dumps(body, sort_keys=True, separators=(",", ":")).encode(), hashlib.sha256).hexdigest()
+    assert signing.canonical_json(raw) == signing.canonical_json(json.dumps(body))
+    frame = spark.createDataFrame([(raw, signature)], "raw string, signature string")
+    row = frame.select(signing.canonical(F.col("raw")).alias("text"), "signature").first()
+    assert hmac.new(SECRET.encode(), row["text"].encode(), hashlib.sha256).hexdigest() == signature
+    assert [signing.canonical_json(x) for x in (None, "", "[1]", "{", '{"a":NaN}')] == [None] * 5
+
+
+def test_windows_name_silent_and_stale_members(spark):
+    registry = spark.createDataFrame([("a", "n1"), ("b", "n1"), ("c", "n2"), ("d", "n3")], "agent_id string, node_id string")
+    plan = I.WindowPlan("2024-01-01T00:00:00Z", 60, 3)
+    rows = [("a", "n1", 5), ("a", "n1", 65), ("b", "n1", 6), ("c", "n2", 7), ("c", "n2", 179), ("a", "n1", 180), ("x", "n9", 8)]
+    columns = ", ".join(f"{f} double" for f in TELEMETRY_FIELDS)
+    samples = spark.createDataFrame(
+        [(f"m{i}", a, n, 1704067200 + at, 0, "GPU", *([float(at)] * len(TELEMETRY_FIELDS))) for i, (a, n, at) in enumerate(rows)],
+        f"batch_id string, agent_id string, node_id string, at long, rank int, gpu_uuid string, {columns}",
+    ).withColumn("observed_at", F.timestamp_seconds("at"))
+    states = {"a": "healthy", "b": "healthy", "c": "stale", "d": "missing"}
+    agents = spark.createDataFrame(list(states.items()), "agent_id string, status string")
+    nodes = spark.createDataFrame([("n1", "healthy"), ("n2", "stale"), ("n3", "missing")], "node_id string, status string")
+    by_node = I.node_windows(samples, nodes, plan)
+    by_agent = I.agent_windows(samples, registry, agents, plan)
+    first, size = plan.start_us, plan.size_us
+    counts = {(r["window_start_us"], r["node_id"]): r["sample_count"] for r in by_node.collect()}
+    assert len(counts) == 9
+    assert counts[(first, "n1")] == 2 and counts[(first + 2 * size, "n1")] == 0 and counts[(first + 2 * size, "n2")] == 1
+    assert {r["sample_count"] for r in by_agent.where("agent_id = 'd'").collect()} == {0}
+    names = {tuple(r) for r in I.missing_members(by_node, by_agent).collect()}
+    assert {n for n in names if n[0] == first} == {(first, "node", "n2"), (first, "node", "n3"), (first, "agent", "c"), (first, "agent", "d")}
+    whole = {r["window_start_us"]: (r["missing_nodes"], r["missing_agents"], r["complete"]) for r in I.window_completeness(by_node, by_agent).collect()}
+    assert whole[first] == (2, 2, False) and whole[first + size] == (2, 3, False)
+    healthy = I.node_windows(samples, nodes.where("node_id = 'n1'"), plan)
+    only_a = I.agent_windows(samples, registry, agents.where("agent_id = 'a'"), plan)
+    assert {r["window_start_us"]: r["complete"] for r in I.window_completeness(healthy, only_a).collect()}[first + size]
+    with pytest.raises(ValueError):
+        I.WindowPlan("2024-01-01T00:00:00Z", 0, 1)

@@ -7,7 +7,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import quantiles as Q
-from gaugeworks.functions.segments import previous_row, running_totals
+from gaugeworks.functions.segments import previous_row, row_numbers, running_totals
+from gaugeworks.operators.calibration import CalibrationRules
+from gaugeworks.operators.rules import identifier
+from gaugeworks.session import ensure_checkpoint_dir
 
 
 def interpolated(values, p):
@@ -67,3 +70,37 @@ def test_running_totals_equal_a_plain_window(events, how):
         "i", F.col("x_before").alias("b")
     )
     assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
+
+
+def test_row_numbers_do_not_depend_on_names(spark):
+    names = [f"a-long-common-beginning-{i:05d}" for i in range(500)]
+    frame = spark.createDataFrame([(n,) for n in names], "name string").repartition(4)
+    found = {r["name"]: r["n"] for r in row_numbers(frame, ["name"], "n").collect()}
+    assert found == {n: i for i, n in enumerate(names)}
+
+
+def test_a_cluster_without_shared_folder_is_refused():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+
+    with pytest.raises(ValueError, match="shared|share"):
+        ensure_checkpoint_dir(Session())
+
+
+def test_identifiers(spark):
+    frame = spark.createDataFrame([("Run.A-.",), ("...",), ("  x y/Z ",), ("",), (None,)], "t string")
+    assert [r[0] for r in frame.select(identifier(F.col("t"))).collect()] == ["Run.A", None, "x-y-Z", None, None]
+
+
+def test_calibration_parameters_are_checked():
+    for name, bad in (("minimum_sizes", 0), ("minimum_capture_rate", 1.1), ("minimum_dynamic_range", 0.0), ("maximum_interval_relative_error", 1.0), ("threshold_method", "x")):
+        with pytest.raises(ValueError, match=name):
+            CalibrationRules(**{name: bad})
+    CalibrationRules(maximum_interval_relative_error=0.0, minimum_capture_rate=1)
