@@ -35,6 +35,21 @@ FROM (SELECT *, greatest(1, t0 - (excess - least(excess, v0 - 1))) AS t, v0 - le
             FROM (SELECT *, greatest(1, CAST(round_even(n * CAST(0.2 AS DOUBLE), 0) AS BIGINT)) AS t0,
                          greatest(1, CAST(round_even(n * CAST(0.2 AS DOUBLE), 0) AS BIGINT)) AS v0 FROM {strata}) a) b) c
 """
+EXTRA["pair"] = """WITH tags AS (SELECT DISTINCT experiment_session_id AS s, concat('class:', target_label) AS tag FROM {ok}),
+            cand AS (SELECT s FROM tags GROUP BY s HAVING count(*) = (SELECT count(DISTINCT tag) FROM tags)),
+            pairs AS (SELECT t.s AS ts, v.s AS vs FROM cand t, cand v WHERE t.s <> v.s
+                      AND NOT EXISTS (SELECT tag FROM tags GROUP BY tag
+                        HAVING count(*) FILTER (WHERE s <> t.s AND s <> v.s) = 0))
+       SELECT first(ts ORDER BY sha256(concat('20260730:test:', ts)), sha256(concat('20260730:validation:', vs))) AS test_session,
+              first(vs ORDER BY sha256(concat('20260730:test:', ts)), sha256(concat('20260730:validation:', vs))) AS validation_session
+       FROM pairs"""
+# The same split with classes as the only strata.
+EXTRA["class_strata"] = """
+SELECT *, count(*) OVER (PARTITION BY stratum) AS n,
+       row_number() OVER (PARTITION BY stratum ORDER BY sha256(concat('20260730:', stratum, ':', CAST(run_id AS VARCHAR)))) - 1 AS position
+FROM (SELECT *, concat('class:', target_label) AS stratum FROM {ok}) s
+"""
+EXTRA["class_stratified"] = EXTRA["stratified"].replace("{strata}", "{class_strata}")
 
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,19 +82,7 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified(spark, sf_dir).select("run_id", "stratum", "position", "split")
 
 
-@query(
-    "session_holdout",
-    "V-02",
-    """WITH tags AS (SELECT DISTINCT experiment_session_id AS s, concat('class:', target_label) AS tag FROM {ok}),
-            cand AS (SELECT s FROM tags GROUP BY s HAVING count(*) = (SELECT count(DISTINCT tag) FROM tags)),
-            pairs AS (SELECT t.s AS ts, v.s AS vs FROM cand t, cand v WHERE t.s <> v.s
-                      AND NOT EXISTS (SELECT tag FROM tags GROUP BY tag
-                        HAVING count(*) FILTER (WHERE s <> t.s AND s <> v.s) = 0))
-       SELECT first(ts ORDER BY sha256(concat('20260730:test:', ts)), sha256(concat('20260730:validation:', vs))) AS test_session,
-              first(vs ORDER BY sha256(concat('20260730:test:', ts)), sha256(concat('20260730:validation:', vs))) AS validation_session
-       FROM pairs""",
-    EXTRA,
-)
+@query("session_holdout", "V-02", EXTRA["pair"], EXTRA)
 def session_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.session_holdout(groups(spark, sf_dir))
 
@@ -219,6 +222,12 @@ def leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "split_strategy",
     "V-06",
+    """SELECT split, count(*) AS runs, strategy FROM (
+         SELECT CASE experiment_session_id WHEN test_session THEN 'test' WHEN validation_session THEN 'validation' ELSE 'train' END AS split,
+                'independent_session_holdout' AS strategy FROM {ok}, {pair} WHERE test_session IS NOT NULL
+         UNION ALL SELECT split, 'deterministic_class_stratified_whole_run' FROM {class_stratified}, {pair} WHERE test_session IS NULL) q
+       GROUP BY split, strategy""",
+    EXTRA,
 )
 def split_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     strategy, assigned = S.choose_strategy(groups(spark, sf_dir), ())

@@ -1,7 +1,4 @@
-"""Registered queries with a check in SQL give the same rows as DuckDB.
-
-The two widest ones take long to plan and are left to the full check at the next scale.
-"""
+"""Registered queries with a check in SQL give the same rows as DuckDB."""
 
 import decimal
 
@@ -12,7 +9,6 @@ import __spark_entry__ as entry
 from gaugeworks.sources.views import BASE_TABLES
 
 ORACLES = entry.oracle_sql()
-SLOW = {"feature_rows", "window_field_stats"}
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +28,7 @@ def plain(value):
     return repr(value)
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, sf_dir, duck, name):
     frame = entry.queries()[name](spark, sf_dir)
     columns = sorted(frame.columns)
