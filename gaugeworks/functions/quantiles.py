@@ -80,7 +80,10 @@ def exact_quantiles(
         at(low).alias("low"), at(high).alias("high")
     )
     fraction = F.col("position") - F.floor("position")
-    result = F.col("low") * (1 - fraction) + F.col("high") * fraction
+    # A rank outside its bracket must not pass as a missing value.
+    missed = F.col("low").isNull() | F.col("high").isNull()
+    failure = F.raise_error(F.lit("the sketch missed a wanted rank")).cast("double")
+    result = F.when(missed, failure).otherwise(F.col("low") * (1 - fraction) + F.col("high") * fraction)
     return picked.groupBy(*keys, "n").agg(
         *[F.max(F.when(F.col("name") == name, result)).alias(name) for name in names]
     )
