@@ -155,7 +155,7 @@ def unit_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "failure_categories",
     "P-16 P-17 F-10",
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 61 = 1 THEN 'nccl_timeout_or_collective_mismatch'
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 5 THEN 'telemetry_sampler_failure' WHEN o_orderkey % 61 = 1 THEN 'nccl_timeout_or_collective_mismatch'
               WHEN o_orderkey % 10 = 2 THEN 'cuda_out_of_memory' WHEN o_orderkey % 10 = 4 THEN 'rendezvous_or_port_failure'
               WHEN o_orderkey % 10 = 6 THEN 'process_group_or_nccl_failure' WHEN o_orderstatus = 'P' THEN 'rank_crash_or_asymmetric_exit'
               WHEN o_orderkey % 7 = 3 THEN 'workload_failure' END AS category,

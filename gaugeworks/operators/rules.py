@@ -201,18 +201,28 @@ def convert_raw_counters(raw: DataFrame) -> DataFrame:
     )
 
 
+# --- fixed values: texts in a log and the category they stand for, first match wins ---
+LOG_CATEGORIES = (
+    ("out of memory", "cuda_out_of_memory"),
+    ("rendezvous", "rendezvous_or_port_failure"),
+    ("address already in use", "rendezvous_or_port_failure"),
+    ("nccl", "process_group_or_nccl_failure"),
+)
+TIMEOUT_CATEGORY = "nccl_timeout_or_collective_mismatch"
+PARTICIPATION_CATEGORY = "rank_crash_or_asymmetric_exit"
+EXIT_CATEGORY = "workload_failure"
+SAMPLER_CATEGORY = "telemetry_sampler_failure"
+# ---------------------------------------------------------------------------------------
+
+
 def failure_category() -> Column:
-    """Category of a failed launch from flags and log text, first match wins."""
+    """Category of a launch from flags and log text; a sampler error overrides all others."""
     c = F.col
     log = F.lower(F.concat_ws("\n", "stderr", "stdout"))
-    return (
-        F.when(c("timed_out"), "nccl_timeout_or_collective_mismatch")
-        .when(log.contains("out of memory"), "cuda_out_of_memory")
-        .when(log.contains("rendezvous") | log.contains("address already in use"), "rendezvous_or_port_failure")
-        .when(log.contains("nccl"), "process_group_or_nccl_failure")
-        .when(~c("participation_valid"), "rank_crash_or_asymmetric_exit")
-        .when(c("return_code") != 0, "workload_failure")
-    )
+    category = F.when(F.length("collector_error") > 0, SAMPLER_CATEGORY).when(c("timed_out"), TIMEOUT_CATEGORY)
+    for text, name in LOG_CATEGORIES:
+        category = category.when(log.contains(text), name)
+    return category.when(~c("participation_valid"), PARTICIPATION_CATEGORY).when(c("return_code") != 0, EXIT_CATEGORY)
 
 
 def exit_status() -> Column:
