@@ -26,7 +26,7 @@ from gaugeworks.llm.common import table, whole_text
 
 GRAM_WORDS = 3
 SIMILARITY = 0.8
-#: Shorter items are not told from ordinary language and are not looked for.
+#: Shorter items leak only as a whole, word for word; an edited one is not told from ordinary language.
 MIN_ITEM_WORDS = 8
 #: Items held by a task at a time; more are looked for in further rounds over the same rows.
 ITEMS_PER_ROUND = 5_000
@@ -48,11 +48,12 @@ def grams_of(words: list[str]) -> Iterator[tuple[str, ...]]:
 
 @dataclass(frozen=True)
 class Items:
-    """Benchmark items of one round, as words, with their distinct grams numbered."""
+    """Benchmark items of one round, as words, with their distinct grams numbered; short items apart."""
 
     ids: tuple[int | None, ...]
     words: tuple[tuple[str, ...], ...]
     grams: dict[tuple[str, ...], int]
+    short: tuple[tuple[int | None, tuple[str, ...]], ...] = ()
 
     def own_grams(self, item: int) -> set[int]:
         return {self.grams[g] for g in grams_of(list(self.words[item]))}
@@ -68,18 +69,20 @@ def needed(items: Items, item: int) -> int:
 
 
 def load_items(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> list[Items]:
-    """Items in rounds of bounded size. Null texts and short items are left out; equal items stay,
-    each under its own key."""
+    """Items in rounds of bounded size. Items without words are left out; equal items stay, each
+    under its own key."""
     rounds = []
     rows = benchmark.select(F.col(key).cast("long").alias("key"), whole_text(text).alias("text")).orderBy("key", "text")
     found = ((r["key"], tuple(words_of(r["text"]))) for r in rows.toLocalIterator())
-    found = (item for item in found if len(item[1]) >= MIN_ITEM_WORDS)
-    while part := list(islice(found, ITEMS_PER_ROUND)):
+    found = (item for item in found if item[1])
+    while whole := list(islice(found, ITEMS_PER_ROUND)):
+        part = [item for item in whole if len(item[1]) >= MIN_ITEM_WORDS]
+        short = tuple(item for item in whole if len(item[1]) < MIN_ITEM_WORDS)
         grams: dict[tuple[str, ...], int] = {}
         for _, words in part:
             for gram in grams_of(list(words)):
                 grams.setdefault(gram, len(grams))
-        rounds.append(Items(tuple(k for k, _ in part), tuple(w for _, w in part), grams))
+        rounds.append(Items(tuple(k for k, _ in part), tuple(w for _, w in part), grams, short))
     return rounds
 
 
@@ -140,7 +143,10 @@ class Matcher:
 
     def __init__(self, items: Items, seeds: dict[tuple[str, ...], list[int]]):
         self.items, self.seeds = items, seeds
-        self.longest = max((len(w) for w in items.words), default=0)
+        self.longest = max((len(w) for w in (*items.words, *(w for _, w in items.short))), default=0)
+        self.short: dict[int, dict[tuple[str, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
+        for number, (_, words) in enumerate(items.short):
+            self.short[len(words)][words].append(number)
         self.needed = {i: needed(items, i) for i in {i for owners in seeds.values() for i in owners}}
 
     def _stretches(self, text: str) -> Iterator[tuple[int, list[str]]]:
@@ -190,16 +196,28 @@ class Matcher:
                 if score >= SIMILARITY * length - 1e-9:
                     yield item, score, int(low + first), int(low + end)
 
+    def _whole(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
+        """Short items that occur word for word, with first and last word of each place."""
+        for length, owners in self.short.items():
+            for at, found in enumerate(zip(*(words[i:] for i in range(length)), strict=False)):
+                if found in owners:
+                    for item in owners[found]:
+                        yield item, at, at + length - 1
+
     def leaks(self, text: str) -> list[tuple[int | None, float, int, int]]:
         """(item_id, score over item length, first and last word) of each leaked item, best place first found."""
         best: dict[int, tuple[int, int, int]] = {}
+        whole: dict[int, tuple[int, int]] = {}
         for base, words in self._stretches(text):
             for item, score, first, last in self._in_stretch(words):
                 if item not in best or score > best[item][0]:
                     best[item] = (score, base + first, base + last)
-        return [
+            for item, first, last in self._whole(words):
+                whole.setdefault(item, (base + first, base + last))
+        found = [
             (self.items.ids[i], score / len(self.items.words[i]), first, last) for i, (score, first, last) in sorted(best.items())
         ]
+        return found + [(self.items.short[i][0], 1.0, first, last) for i, (first, last) in sorted(whole.items())]
 
 
 def _finder(shared: Broadcast) -> Callable[[Column], Column]:
@@ -213,7 +231,7 @@ def _finder(shared: Broadcast) -> Callable[[Column], Column]:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Column:
-    """Column with the leaked items of each text: item_id, score (0.8 to 1), first and last word.
+    """Column with the leaked items of each text: item_id, score (0.8 to 1, of short items 1), first and last word.
 
     Words are lower-cased runs of letters, digits and underscores. Null and empty texts leak
     nothing, nor does anything without items; repeated rows are each judged. A null item_id stays.
