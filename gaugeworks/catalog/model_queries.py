@@ -101,9 +101,7 @@ def detector_family_holdouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = minute_features(spark, sf_dir).where(
         "designation = 'benign' AND target_label IN ('training', 'inference')"
     )
-    # The forest is left to detector_candidates: 300 trees for every family take too long here.
-    models = ("logistic_regression", "shallow_decision_tree")
-    return round_doubles(V.evaluate_holdouts(rows, "workload_family", COLUMNS, models))
+    return round_doubles(V.evaluate_holdouts(rows, "workload_family", COLUMNS))
 
 
 @query("detector_by_window_length", "M-10")
