@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gaugeworks.llm.decontaminate import op10_decontamination
 from gaugeworks.llm.exact import OP1_SQL, op1_exact_dedup
+from gaugeworks.llm.manifest import OP11_SQL, op11_manifest
 from gaugeworks.llm.passages import op3_repeated_passages
 from gaugeworks.llm.pieces import op4_sentencepiece
 from gaugeworks.llm.quality import op2_quality
@@ -28,10 +29,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
+    "op11_manifest": op11_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op6_url_filters": OP6_SQL,
     "op8_warc": OP8_SQL,
+    "op11_manifest": OP11_SQL,
 }
