@@ -12,6 +12,7 @@ from gaugeworks.llm.manifest import OP11_SQL, op11_manifest
 from gaugeworks.llm.passages import op3_repeated_passages
 from gaugeworks.llm.pieces import op4_sentencepiece
 from gaugeworks.llm.quality import op2_quality
+from gaugeworks.llm.repeats import op13_runs
 from gaugeworks.llm.secrets import op7_secret_scans
 from gaugeworks.llm.simhash import op9_simhash
 from gaugeworks.llm.tokens import op5_token_counts
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
     "op11_manifest": op11_manifest,
+    "op13_runs": op13_runs,
 }
 
 ORACLES: dict[str, str] = {
