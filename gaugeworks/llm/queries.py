@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gaugeworks.llm.decontaminate import op10_decontamination
 from gaugeworks.llm.exact import OP1_SQL, op1_exact_dedup
 from gaugeworks.llm.manifest import OP11_SQL, op11_manifest
+from gaugeworks.llm.minhash import op12_minhash
 from gaugeworks.llm.passages import op3_repeated_passages
 from gaugeworks.llm.pieces import op4_sentencepiece
 from gaugeworks.llm.quality import op2_quality
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
     "op11_manifest": op11_manifest,
+    "op12_minhash": op12_minhash,
     "op13_runs": op13_runs,
 }
 
