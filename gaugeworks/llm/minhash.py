@@ -9,12 +9,15 @@ threshold passes again once in 10 ** 10 times, and what is let through is checke
 
 Equal sets are one node from the start. A large group of near copies is not expanded into pairs:
 first every node is compared with one node of each of its buckets, the one that meets most others;
-only nodes that are then still in different groups are compared with each other.
+only nodes that are then still in different groups of a bucket are compared, where they share one of
+the rarest shingles that two sets of the similarity cannot avoid to share (a prefix filter, which
+loses nothing).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from fractions import Fraction
 from functools import cache
 
@@ -27,6 +30,7 @@ from pyspark.sql import types as T
 
 from gaugeworks.llm.common import staged, table, whole_text
 from gaugeworks.llm.components import components
+from gaugeworks.llm.similar import possible, postings
 
 WORDS = 3
 SIMILARITY = Fraction(17, 20)
@@ -37,6 +41,8 @@ SKETCH_BITS, SKETCH_LONGS = 512, 8
 LOSS = 1e-10
 #: Words whose texts are worked on together; a longer text is a batch of its own.
 BATCH_WORDS = 400_000
+#: Rows that go to a Python worker at once.
+BATCH_TEXTS, BATCH_PAIRS = 1000, 250
 #: So many different words make three-word codes that fit 63 bits.
 CODED_WORDS = 2_000_000
 #: Values of one block of minima, to stay in a core's cache.
@@ -152,25 +158,53 @@ def estimated(bits: Column) -> Column:
     return F.when(left > 0, F.greatest(F.lit(0.0), 1 + SKETCH_BITS / (4 * SAMPLES) * F.log(left)))
 
 
+@contextmanager
+def batches_of(frame: DataFrame, rows: int) -> Iterator[None]:
+    """What is written inside goes to Python in batches of so many rows: texts may be long."""
+    conf, name = frame.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        conf.set(name, before)
+
+
+def _word_batches(bodies: pd.Series) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """Where each batch of texts begins, and their words."""
+    begin, held, size = 0, [], 0
+    for at, text in enumerate(bodies):
+        words = words_of(text)
+        if held and size + len(words) > BATCH_WORDS:
+            yield begin, held
+            begin, held, size = at, [], 0
+        held.append(words)
+        size += len(words)
+    if held:
+        yield begin, held
+
+
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        words = [words_of(t) for t in batch["body"]]
-        begin = 0
-        while begin < len(words):
-            end, size = begin + 1, len(words[begin])
-            while end < len(words) and size + len(words[end]) <= BATCH_WORDS:
-                size += len(words[end])
-                end += 1
-            hashes = shingle_hashes(words[begin:end])
+        for begin, words in _word_batches(batch["body"]):
+            hashes = shingle_hashes(words)
             least = np.stack([minima(h) if len(h) else np.zeros(SAMPLES, np.uint32) for h in hashes])
             digest = np.array([np.frombuffer(xxhash.xxh3_128_digest(np.sort(h).tobytes()), np.int64) for h in hashes])
-            found = batch[["key", "h1", "h2"]].iloc[begin:end].assign(n=[len(h) for h in hashes], d1=digest[:, 0], d2=digest[:, 1])
+            found = batch[["key", "h1", "h2"]].iloc[begin : begin + len(words)].assign(n=[len(h) for h in hashes], d1=digest[:, 0], d2=digest[:, 1])
             found["bands"] = list(band_keys(least))
             found[_PARITY] = odd_sketches(least)
-            begin = end
             yield found
 
 
+def bodies_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (node, body) of the wanted nodes."""
+    ends = wanted.join(nodes.select("node", "rep"), "node")
+    ends = ends.select("node", F.col("rep.key").alias("k"), F.col("rep.h1").alias("e1"), F.col("rep.h2").alias("e2"))
+    # By key as well: the copies of one text lie in many partitions, and one of them is taken.
+    same = F.col("key").eqNullSafe(F.col("k")) & (F.col("h1") == F.col("e1")) & (F.col("h2") == F.col("e2"))
+    return staged(texts.join(ends, same).select("node", "body").dropDuplicates(["node"]), "bodies")
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: Fraction) -> DataFrame:
     """Rows (a, b, common, both) of the pairs (a, b) that have the similarity, counted on their words."""
 
@@ -186,15 +220,12 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: Fract
         return pd.Series(found)
 
     pairs = staged(pairs, "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
-    ends = ends.select("node", F.col("rep.key").alias("k"), F.col("rep.h1").alias("e1"), F.col("rep.h2").alias("e2"))
-    same = F.col("key").eqNullSafe(F.col("k")) & (F.col("h1") == F.col("e1")) & (F.col("h2") == F.col("e2"))
-    # By key as well: the copies of one text lie in many partitions, and one of them is taken.
-    bodies = staged(texts.join(ends, same).select("node", "body").dropDuplicates(["node"]), "bodies")
+    bodies = bodies_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, texts)
     found = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("one")), "a")
     found = found.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("two")), "b")
     found = found.select("a", "b", counted("one", "two").alias("c")).select("a", "b", F.col("c")[0].alias("common"), F.col("c")[1].alias("both"))
-    return staged(found.filter(F.col("common") * least.denominator >= F.col("both") * least.numerator), "links")
+    with batches_of(found, BATCH_PAIRS):
+        return staged(found.filter(F.col("common") * least.denominator >= F.col("both") * least.numerator), "links")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -206,7 +237,8 @@ def signed_sets(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFr
     empty, with their sketches and bands and the text that stands for them."""
     body = whole_text(text)
     texts = docs.select(F.col(key).cast("string").alias("key"), F.xxhash64(F.lit(0), body).alias("h1"), F.xxhash64(F.lit(1), body).alias("h2"), body.alias("body"))
-    signed = staged(texts.mapInPandas(_signed, _SCHEMA), "signed")
+    with batches_of(texts, BATCH_TEXTS):
+        signed = staged(texts.mapInPandas(_signed, _SCHEMA), "signed")
     first = F.min(F.struct(F.col("key").isNull().alias("unnamed"), F.col("key").cast("decimal(20,0)").alias("number"), "key", "h1", "h2")).alias("rep")
     carried = [F.any_value(c).alias(c) for c in ("n", "bands", *_PARITY)]
     nodes = signed.filter("n > 0").groupBy("d1", "d2").agg(first, F.count(F.lit(1)).alias("rows"), *carried)
@@ -233,15 +265,17 @@ def similar_links(texts: DataFrame, nodes: DataFrame, least: Fraction = SIMILARI
     links = confirmed(star, nodes, texts, least)
     groups = staged(components(links.select("a", "b")), "groups")
 
-    # Sizes of a pair differ by one class at most, so the class is part of the key.
-    group = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(float(1 / least)))).alias("size")
+    # What is apart and shares a bucket meets by the rarest shingles of which a similar pair shares one.
     placed = met.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    rest = placed.join(apart, "bucket").join(signs, "node").select("bucket", "node", "root", "n", group, *_PARITY)
-    rest = staged(rest, "apart")
-    right = rest.withColumn("size", F.explode(F.array(F.col("size") - 1, "size", F.col("size") + 1)))
-    key = (F.col("u.bucket") == F.col("v.bucket")) & (F.col("u.size") == F.col("v.size"))
-    apart_pairs = rest.alias("u").join(right.alias("v"), key & (F.col("u.node") < F.col("v.node")) & (F.col("u.root") != F.col("v.root")) & near)
+    open_ = staged(placed.join(apart, "bucket").select("node", "root").distinct(), "apart")
+    bodies = bodies_of(open_.select("node"), nodes, texts)
+    with batches_of(bodies, BATCH_TEXTS):
+        rare = postings(bodies, WORDS, least).drop("prefix").join(open_, "node")
+    mixed = rare.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
+    rest = staged(rare.join(mixed, "shingle").join(signs.drop("n"), "node"), "rest")
+    meets = (F.col("u.shingle") == F.col("v.shingle")) & (F.col("u.node") < F.col("v.node")) & (F.col("u.root") != F.col("v.root"))
+    apart_pairs = rest.alias("u").join(rest.alias("v"), meets & possible("u", "v", least) & near)
     pairs = _ordered(apart_pairs.select(F.col("u.node").alias("x"), F.col("v.node").alias("y"))).join(star, ["a", "b"], "left_anti")
     return links.unionByName(confirmed(pairs, nodes, texts, least))
 
