@@ -3,6 +3,7 @@
 from gaugeworks.catalog import (  # noqa: F401
     calibration_queries,
     coverage_queries,
+    detector_queries,
     evidence_queries,
     ingest_queries,
     metric_queries,

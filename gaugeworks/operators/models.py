@@ -1,21 +1,23 @@
 """Baseline detectors as pyspark.ml jobs, fitted on whole-run splits.
 
-Preprocessing parameters are one number per feature column, learned on the training
-part only and applied as column expressions, so scoring is a single scan.
+Preprocessing is learned on the training part only. Its columns travel as one vector, so a plan
+has the same size for five columns or four hundred, and scoring is a single scan.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import StandardScaler, StringIndexer, VarianceThresholdSelector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,6 @@ from gaugeworks.operators.metrics import (
     apply_threshold_rule,
     fit_threshold_rule,
     majority_probability,
-    train_medians,
 )
 from gaugeworks.plans.matrix import HoldoutPlan
 from gaugeworks.session import cut_lineage
@@ -36,54 +37,67 @@ ML_MODELS = ("logistic_regression", "shallow_decision_tree", "random_forest")
 
 @dataclass(frozen=True)
 class Preprocessing:
-    """Per-column parameters learned on the training part."""
+    """Medians, variance filter and scale learned on the training part."""
 
     columns: tuple[str, ...]
-    medians: dict[str, float]
-    means: dict[str, float]
-    scales: dict[str, float]
+    candidates: tuple[str, ...]
+    medians: tuple[float, ...]
+    stages: PipelineModel
     dropped: tuple[str, ...]
 
-    def filled(self, name: str) -> Column:
-        return F.coalesce(F.col(f"`{name}`").cast("double"), F.lit(self.medians[name]))
+    def filled(self, frame: DataFrame) -> DataFrame:
+        """Adds ``_filled``: the candidate columns as a vector, medians for what is missing."""
+        values = F.array(*[F.col(f"`{c}`").cast("double") for c in self.candidates])
+        whole = F.zip_with(values, F.lit(list(self.medians)), lambda v, m: F.coalesce(F.nanvl(v, F.lit(None)), m))
+        return frame.withColumn("_filled", array_to_vector(whole))
 
     def apply(self, frame: DataFrame, scaled: bool) -> DataFrame:
-        """Adds ``features``: imputed, optionally standardized columns as a vector."""
-        names = [f"_f{i}" for i in range(len(self.columns))]
-        values = {
-            n: (self.filled(c) - self.means[c]) / self.scales[c] if scaled else self.filled(c)
-            for n, c in zip(names, self.columns, strict=True)
-        }
-        wide = frame.withColumns(values)
-        return VectorAssembler(inputCols=names, outputCol="features").transform(wide).drop(*names)
+        """Adds ``features``: imputed columns that vary, standardized if ``scaled``."""
+        found = self.stages.transform(self.filled(frame))
+        return found.withColumnRenamed("_scaled" if scaled else "_varied", "features").drop("_filled", "_varied", "_scaled")
+
+
+#: Medians are exact up to half as many rows, and off by one of so many ranks beyond.
+MEDIAN_RANKS = 10_000
+
+
+def column_medians(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Median of every column with a value, all columns in two passes that combine map-side.
+
+    An even number of values has the mean of the two in the middle.
+    """
+    values = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)) for c in columns]
+    counts = train.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(values)]).first()
+    ranks = {
+        i: [0.5] if n % 2 else [0.5, (n / 2 + 0.5) / n] for i, n in enumerate(counts) if n
+    }
+    if not ranks:
+        return {}
+    found = train.agg(
+        *[F.percentile_approx(values[i], p, MEDIAN_RANKS).alias(f"q{i}") for i, p in ranks.items()]
+    ).first()
+    return {columns[i]: sum(found[f"q{i}"]) / len(p) for i, p in ranks.items()}
 
 
 def fit_preprocessing(train: DataFrame, columns: Sequence[str]) -> Preprocessing:
-    """Exact medians, then population mean and deviation of the imputed columns.
+    """Medians, then one pass each over the vectors for the variance filter and the scale.
 
-    What reaches the driver is one row per feature column. All-missing and constant
-    columns are dropped.
+    What reaches the driver is one row of as many numbers as there are columns. All-missing and
+    constant columns are dropped.
     """
-    medians = {r["column_name"]: r["median"] for r in train_medians(train, columns).collect()}
+    medians = column_medians(train, columns)
     usable = [c for c in columns if c in medians]
     if not usable:
-        raise ValueError("all candidate features are missing in the training part")
-    filled = {c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(medians[c])) for c in usable}
-    row = train.agg(
-        *[F.avg(v).alias(f"m{i}") for i, v in enumerate(filled.values())],
-        *[F.stddev_pop(v).alias(f"s{i}") for i, v in enumerate(filled.values())],
-    ).first()
-    varied = [c for i, c in enumerate(usable) if row[f"s{i}"] > 0]
+        raise ValueError("no candidate column has a value in the training part")
+    plan = Preprocessing((), tuple(usable), tuple(medians[c] for c in usable), PipelineModel([]), ())
+    vectors = cut_lineage(plan.filled(train).select("_filled"))
+    selector = VarianceThresholdSelector(featuresCol="_filled", outputCol="_varied", varianceThreshold=0.0).fit(vectors)
+    varied = [usable[i] for i in selector.selectedFeatures]
     if not varied:
-        raise ValueError("no feature varies in the training part")
-    at = {c: i for i, c in enumerate(usable)}
-    return Preprocessing(
-        tuple(varied),
-        {c: medians[c] for c in varied},
-        {c: row[f"m{at[c]}"] for c in varied},
-        {c: row[f"s{at[c]}"] for c in varied},
-        tuple(sorted(set(columns) - set(varied))),
-    )
+        raise ValueError("no candidate column varies in the training part")
+    scaler = StandardScaler(inputCol="_varied", outputCol="_scaled", withMean=True, withStd=True)
+    stages = PipelineModel([selector, scaler.fit(selector.transform(vectors))])
+    return replace(plan, columns=tuple(varied), stages=stages, dropped=tuple(sorted(set(columns) - set(varied))))
 
 
 def class_weights(train: DataFrame, label: str) -> Column:
@@ -105,12 +119,16 @@ BINS = 256
 ITERATIONS = 2000
 
 
-def estimator(name: str, total_weight: float, trees: int = 300, bins: int = BINS, iterations: int = ITERATIONS):
+def estimator(
+    name: str, total_weight: float, trees: int = 300, bins: int = BINS, iterations: int = ITERATIONS, rows: int = 0
+):
     shared = {"featuresCol": "features", "labelCol": "y", "weightCol": "w", "probabilityCol": "probability"}
     if name == "logistic_regression":
-        # The penalty of the summed loss at C = 1, for Spark's averaged loss.
+        # The penalty of the summed loss at C = 1, for Spark's averaged loss; the scale of the columns
+        # is that of a sample, so the weights are greater by the root of n / (n - 1).
+        share = (rows - 1) / rows if rows > 1 else 1.0
         return LogisticRegression(
-            maxIter=iterations, regParam=1.0 / total_weight, elasticNetParam=0.0, standardization=False, **shared
+            maxIter=iterations, regParam=share / total_weight, elasticNetParam=0.0, standardization=False, **shared
         )
     if name == "shallow_decision_tree":
         return DecisionTreeClassifier(maxDepth=3, maxBins=bins, minInstancesPerNode=2, seed=SEED, **shared)
@@ -136,8 +154,10 @@ def fit_and_score(
         "features", F.col("y").cast("double").alias("y"), "w"
     )
     fitting = cut_lineage(weighted)
-    total = fitting.agg(F.sum("w")).first()[0]
-    model = estimator(name, total, trees).fit(fitting)
+    total, count = fitting.agg(F.sum("w"), F.count(F.lit(1))).first()
+    model = estimator(name, total, trees, rows=count).fit(fitting)
+    if name == "logistic_regression" and model.summary.totalIterations >= ITERATIONS:
+        warnings.warn(f"logistic regression stopped after {ITERATIONS} steps without converging", stacklevel=2)
     scored = model.transform(prepared.apply(rows, scaled))
     return scored.withColumn("p", vector_to_array("probability")[1]).drop(
         "features", "rawPrediction", "probability", "prediction"
