@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import json
+import random
 import tempfile
 
 import pytest
@@ -147,7 +148,8 @@ STORY = [
         "accepted",
     ),
     (batch(3, previous="b1"), "accepted"),
-    (batch(0, agent="b"), "accepted"),
+    # An id of its own: ids belong to all agents (see the tests of shared ids below).
+    (batch(5, sequence=0, agent="b"), "accepted"),
 ]
 
 
@@ -255,3 +257,57 @@ def test_windows_name_silent_and_stale_members(spark):
     assert {r["window_start_us"]: r["complete"] for r in I.window_completeness(healthy, only_a).collect()}[first + size]
     with pytest.raises(ValueError):
         I.WindowPlan("2024-01-01T00:00:00Z", 0, 1)
+
+
+def globally(bodies):
+    """One message after the other: ids belong to all agents, sequence and chain to one."""
+    ids, last, chain, found = {}, {}, {}, []
+    for body in bodies:
+        agent, key = body["agent_id"], body["batch_id"]
+        digest = json.dumps(body, sort_keys=True)
+        if key in ids:
+            found.append("already_accepted" if ids[key] == digest else "message_id_conflict")
+        elif agent in last and body["sequence"] <= last[agent]:
+            found.append("stale_sequence")
+        elif agent in last and body["sequence"] != last[agent] + 1:
+            found.append("sequence_gap")
+        elif agent in chain and body["previous_batch_id"] != chain[agent]:
+            found.append("batch_chain_mismatch")
+        else:
+            ids[key], last[agent], chain[agent] = digest, body["sequence"], key
+            found.append("accepted")
+    return found
+
+
+def test_an_id_belongs_to_one_agent(spark, registry):
+    bodies = [batch(1), batch(1, agent="b"), batch(2, previous="b1"), batch(3, 1, agent="b"), batch(1), batch(3, 3, previous="b2")]
+    found = outcomes(spark, registry, bodies)
+    assert found == ["accepted", "message_id_conflict", "accepted", "accepted", "already_accepted", "message_id_conflict"]
+    assert found == globally(bodies)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_shared_ids_against_one_global_order(spark, seed):
+    rng = random.Random(seed)
+    agents = "abcde"
+    registry = spark.createDataFrame([(a, "n", SECRET) for a in agents], "agent_id string, node_id string, secret string")
+    after, bodies = dict.fromkeys(agents, (0, None)), []
+    for _ in range(70):
+        agent = rng.choice(agents)
+        number, last = after[agent]
+        key = rng.randrange(40)
+        bodies.append(batch(key, number + rng.choice((0, 1, 1, 1, 2)), previous=last, agent=agent))
+        if globally(bodies)[-1] == "accepted":
+            after[agent] = (bodies[-1]["sequence"], bodies[-1]["batch_id"])
+        if rng.random() < 0.2:
+            bodies.append(rng.choice(bodies))
+    wanted = globally(bodies)
+    assert {"accepted", "message_id_conflict", "already_accepted"} <= set(wanted)
+    assert outcomes(spark, registry, bodies) == wanted
+
+
+def test_a_silent_window_is_decided(spark):
+    silent = spark.createDataFrame([(0, False, 2, 3, None), (1, True, 0, 0, 0.9)], "window_start_us bigint, complete boolean, missing_nodes int, missing_agents int, mean double")
+    rows = {r.window_start_us: r for r in I.decide(silent, lambda _: F.col("mean"), 0.5, 0.1).collect()}
+    assert rows[0].abstained and rows[0].score is None and rows[0].reason == "missing_nodes=2 missing_agents=3"
+    assert not rows[1].abstained and rows[1].score == 0.9
