@@ -27,7 +27,6 @@ TASK_FAMILIES = (
     "inference_synchronized",
 )
 MINIMUM_RUNS = 3
-TRAFFIC_FIELDS = ("pcie_tx_bytes_per_s", "pcie_rx_bytes_per_s")
 LABELS = (
     "run_id",
     "experiment_session_id",
@@ -39,14 +38,14 @@ LABELS = (
 )
 
 
-def labelled_features(spark: SparkSession, sf_dir: str, lengths, fields) -> tuple[DataFrame, list[str]]:
+def labelled_features(spark: SparkSession, sf_dir: str, lengths) -> tuple[DataFrame, list[str]]:
     """Feature rows of the lengths with the labels of their runs, and the eligible columns.
 
     Runs whose group is ambiguous are left out: one of them would stop the evaluation at its audit.
     """
     telemetry, runs = view(spark, sf_dir, "telemetry"), view(spark, sf_dir, "runs")
     assigned = W.assign_windows(telemetry, W.run_bounds(telemetry, runs), lengths)
-    rows = W.feature_rows(W.window_samples(assigned, fields, TOLERANCE), THRESHOLD, fields)
+    rows = W.feature_rows(W.window_samples(assigned, TELEMETRY_FIELDS, TOLERANCE), THRESHOLD)
     columns = numeric_candidates(rows)
     target = (F.col("target_label") == "training").cast("int").alias("y")
     clear = runs.where("NOT coalesce(legacy_grouping_ambiguous, false) AND coalesce(experiment_session_id, '') <> ''")
@@ -102,7 +101,7 @@ def _evaluated(application: str, sf_dir: str) -> dict[str, dict[str, DataFrame]]
     decision = calibration_queries.decision(spark, sf_dir)
     # What the calibration says is in the gates; evidence without it is evaluated in the open mode.
     closed = decision.where("NOT capture_gate_passed").limit(1).count() > 0 or decision.limit(1).count() == 0
-    features, columns = labelled_features(spark, sf_dir, (PRIMARY,), TELEMETRY_FIELDS)
+    features, columns = labelled_features(spark, sf_dir, (PRIMARY,))
     coverage = cut_lineage(coverage_queries.coverage(spark, sf_dir))
     try:
         return V.evaluate_detector(
@@ -167,7 +166,7 @@ def pipeline_run_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("detector_pipeline_window_lengths", "M-10")
 def pipeline_window_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every length on the split of the primary one, on the traffic columns."""
-    features, columns = labelled_features(spark, sf_dir, LENGTHS, TRAFFIC_FIELDS)
+    features, columns = labelled_features(spark, sf_dir, LENGTHS)
     task = features.where("designation = 'benign' AND target_label IN ('training', 'inference')")
     primary = task.where(F.col("window_seconds") == PRIMARY)
     families = tuple(r[0] for r in primary.select("workload_family").distinct().orderBy("workload_family").collect())

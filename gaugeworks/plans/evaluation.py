@@ -229,6 +229,8 @@ def evaluate_by_window_length(
 
     with ThreadPool(CONCURRENT_FITS) as pool:
         tables = pool.map(one, lengths)
+    # No rows, no lengths: an empty table.
+    tables.append(frame.sparkSession.createDataFrame([], "window_seconds double, status string, reason string"))
     tables.sort(key=lambda t: -len(t.columns))
     result = tables[0]
     for table in tables[1:]:
