@@ -341,4 +341,4 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
 
 
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
+    return repeated_passages(table(spark, sf_dir, "documents"))
