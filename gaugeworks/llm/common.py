@@ -39,8 +39,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keep_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose (doc_id, text hash) is in ``stay``, one of each; all columns stay."""
-    wanted = staged(stay.select(F.col("doc_id").alias("__stay_id"), F.col("text_hash").alias("__stay_hash")).distinct(), "stay")
+    """Rows of ``docs`` whose (doc_id, text hash) is in ``stay``, one of each; all columns stay.
+
+    Which keys go, and which are held by several rows, is found on rows of two numbers; whole rows
+    are only compared with the keys that go. Of repeated rows alone one is picked among whole rows.
+    """
     hashed = docs.withColumn("__hash", F.xxhash64(whole_text()))
-    same = F.col("doc_id").eqNullSafe(F.col("__stay_id")) & (F.col("__hash") == F.col("__stay_hash"))
-    return hashed.join(wanted, same, "left_semi").dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    keys = hashed.groupBy(F.col("doc_id").alias("__id"), F.col("__hash").alias("__key")).agg(F.count(F.lit(1)).alias("copies"))
+    wanted = stay.select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash"), F.lit(True).alias("kept")).distinct()
+    judged = keys.join(wanted, F.col("__id").eqNullSafe(F.col("stay_id")) & (F.col("__key") == F.col("stay_hash")), "left")
+    apart = staged(judged.filter("kept IS NULL OR copies > 1").select("__id", "__key", "kept"), "apart-keys")
+    repeated = staged(apart.filter("kept"), "repeated-keys")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__key"))
+    single = hashed.join(apart, same, "left_anti")
+    again = hashed.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__hash"])
+    return single.unionByName(again).drop("__hash")
