@@ -3,12 +3,16 @@
 Two texts whose shingle sets of n and m have similarity t or more share at least t / (1 + t) (n + m)
 shingles. In one order of all shingles, the first n - ceil(t n) + 1 of one set and those of the other
 then have a member in common, so only texts that share such a shingle are compared and no pair is
-lost. The order is rarest first by counts over a sample of texts: it decides how many texts meet and
-not which pairs are found. Every pair is checked on its texts.
+lost. Of the set whose prefix ends first in that order, every common shingle is common to both
+prefixes or lies behind its prefix; so the number that both prefixes share bounds what two sets can
+share, and pairs that stay below are not compared. The order is rarest first by counts over a sample
+of texts: it decides how many texts meet and not which pairs are found. Every pair that is left is
+checked on its texts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -29,7 +33,7 @@ SAMPLE_TEXTS = 10_000
 COUNTERS = 1 << 19
 COUNT_TASKS = 8
 
-_POSTING = "shingle long, node long, n int, at int, prefix int"
+_POSTING = "shingle long, node long, n int, at int"
 
 
 def shingles_of(text: str, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -71,31 +75,40 @@ def shingle_counts(texts: DataFrame, words: int) -> np.ndarray:
     return counts
 
 
-def postings(texts: DataFrame, words: int, least: Fraction) -> DataFrame:
-    """Rows (shingle, node, n, at, prefix): the shingles of each prefix, with the set size."""
+def prefixes(texts: DataFrame, words: int, least: Fraction) -> DataFrame:
+    """Rows (shingle, node, n, at): the shingles of each prefix and their places, with the set size."""
     shared = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts, words))
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = shared.value
         for batch in batches:
             parts = []
             for node, text in zip(batch["node"], batch["body"], strict=True):
                 own = shingles_of(text, words)
                 own = own[np.argsort(counts[(own % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")]
-                length = prefix_length(len(own), least)
-                parts.append((own[:length].view(np.int64), node, len(own), length))
-            sizes = [p[3] for p in parts]
+                parts.append((own[: prefix_length(len(own), least)].view(np.int64), node, len(own)))
+            sizes = [len(p[0]) for p in parts]
             yield pd.DataFrame(
                 {
                     "shingle": np.concatenate([p[0] for p in parts]),
                     "node": np.repeat([p[1] for p in parts], sizes),
                     "n": np.repeat([p[2] for p in parts], sizes).astype(np.int32),
                     "at": np.concatenate([np.arange(s, dtype=np.int32) for s in sizes]),
-                    "prefix": np.repeat(sizes, sizes).astype(np.int32),
                 }
             )
 
-    return staged(texts.mapInPandas(prefixes, _POSTING), "postings")
+    return texts.mapInPandas(cut, _POSTING)
+
+
+def prefix_of(n: Column, least: Fraction) -> Column:
+    """:func:`prefix_length` of a column."""
+    n = n.cast("long")
+    return n - F.call_function("div", n * least.numerator + (least.denominator - 1), F.lit(least.denominator)) + 1
+
+
+def postings(texts: DataFrame, words: int, least: Fraction) -> DataFrame:
+    """The prefixes, written, each row with the length of its prefix."""
+    return staged(prefixes(texts, words, least).withColumn("prefix", prefix_of(F.col("n"), least).cast("int")), "postings")
 
 
 def possible(a: str, b: str, least: Fraction) -> Column:
@@ -106,14 +119,22 @@ def possible(a: str, b: str, least: Fraction) -> Column:
     return left * (up + down) >= (F.col(f"{a}.n") + F.col(f"{b}.n")).cast("long") * up
 
 
+def enough(a: Column, b: Column, common: Column, least: Fraction) -> Column:
+    """Whether sets of a and b shingles whose prefixes have ``common`` shingles in common can reach the
+    similarity: no more than what lies behind one of the prefixes can be added."""
+    up, down = least.numerator, least.denominator
+    behind = F.greatest(a - prefix_of(a, least), b - prefix_of(b, least))
+    return (common + behind) * (up + down) >= (a + b).cast("long") * up
+
+
 def checked(pairs: DataFrame, texts: DataFrame, words: int, least: Fraction) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
+    """The distinct pairs (a, b) whose texts are similar enough."""
 
     @F.pandas_udf("boolean")
     def same(one: pd.Series, two: pd.Series) -> pd.Series:
         return pd.Series([similar(a, b, words, least) for a, b in zip(one, two, strict=True)], dtype=bool)
 
-    wanted = staged(pairs.distinct(), "pairs")
+    wanted = staged(pairs, "pairs")
     nodes = wanted.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     bodies = staged(texts.join(nodes, "node", "left_semi"), "bodies")
     found = wanted.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("one")), "a")
@@ -128,37 +149,80 @@ def linked_texts(texts: DataFrame, words: int = SHINGLE_WORDS, least: Fraction =
     its prefix: most of a large group hangs together by that. Then all texts of a shingle that are in
     different components so far are compared, which leaves out no pair that could join two.
     """
-    rows = postings(texts, words, least)
-    met = rows.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("shingle")
-    rows = staged(rows.join(met, "shingle"), "met")
-    degree = rows.groupBy("node").agg((F.count(F.lit(1)) / F.first("prefix")).alias("degree"))
+    rows = staged(met_rows(prefixes(texts, words, least)), "met")
+    degree = rows.groupBy("node").agg((F.count(F.lit(1)) / prefix_of(F.first("n"), least)).alias("degree"))
     best = rows.join(degree, "node").groupBy("shingle").agg(F.max(F.struct("degree", "node", "n", "at")).alias("c"))
     star = rows.alias("a").join(best.select("shingle", "c.node", "c.n", "c.at").alias("b"), "shingle")
     star = star.filter(F.col("a.node") != F.col("b.node")).filter(possible("a", "b", least))
-    star = star.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
+    star = star.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
     links = checked(star, texts, words, least)
     groups = staged(components(links), "groups")
 
     rows = rows.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = rows.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
     rows = staged(rows.join(apart, "shingle"), "apart")
-    pairs = rows.alias("a").join(rows.alias("b"), "shingle")
-    pairs = pairs.filter((F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))).filter(possible("a", "b", least))
-    pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    links = links.unionByName(checked(pairs, texts, words, least))
+    links = links.unionByName(checked(apart_pairs(rows, least), texts, words, least))
     return components(links)
 
 
+def met_rows(rows: DataFrame) -> DataFrame:
+    """The rows whose shingle has two nodes. They travel once: the count of the nodes reads the same
+    shuffle, for which it asks for all columns. Both sides stream; no group is held."""
+    rows = rows.repartition("shingle")
+    seen = rows.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("n").alias("n"), F.min("at").alias("at"))
+    return rows.hint("merge").join(seen.filter("lo <> hi AND n >= 0 AND at >= 0").select("shingle"), "shingle")
+
+
+def apart_pairs(rows: DataFrame, least: Fraction) -> DataFrame:
+    """Distinct pairs (a, b) of nodes with different roots that can reach the similarity, from
+    ``rows(shingle, node, n, at, root)``, which hold every prefix shingle that two roots share.
+
+    Sizes are part of the join key: a set meets only sets of its own band of sizes and of the next
+    one. A band is somewhat wider than the ratio of sizes that similar sets can have.
+    """
+    width = math.log(1.04 * least.denominator / least.numerator)
+    rows = rows.withColumn("band", F.floor(F.log("n") / width))
+    small = rows.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).alias("a")
+    pairs = small.join(rows.alias("b"), ["shingle", "band"])
+    smaller = F.struct("a.n", "a.node") < F.struct("b.n", "b.node")
+    sizes = F.col("b.n").cast("long") * least.numerator <= F.col("a.n").cast("long") * least.denominator
+    pairs = pairs.filter(smaller & sizes & (F.col("a.root") != F.col("b.root")))
+    pairs = pairs.groupBy(F.col("a.node").alias("x"), F.col("a.n").alias("nx"), F.col("b.node").alias("y"), F.col("b.n").alias("ny"))
+    pairs = pairs.agg(F.count(F.lit(1)).alias("common"), F.min("a.at").alias("ax"), F.min("b.at").alias("ay"))
+    pairs = pairs.filter(enough(F.col("nx"), F.col("ny"), F.col("common"), least))
+    first = pairs.select("*", F.struct(F.col("nx").alias("n"), F.col("ax").alias("at")).alias("u"), F.struct(F.col("ny").alias("n"), F.col("ay").alias("at")).alias("v"))
+    first = first.filter(possible("u", "v", least))
+    return first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def numbered_texts(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """Distinct texts (node, body) and the column that gives the node of a row of ``docs``.
+
+    A node is a 64-bit hash of the text. Grouped by it, a second hash shows that no two texts share
+    one (two texts with both hashes equal aside, one pair in 10^38); else it is drawn anew.
+    """
+    body = whole_text()
+    draw = 0
+    while True:
+        node = F.xxhash64(body) if not draw else F.xxhash64(F.lit(draw), body)
+        seen = docs.select(node.alias("node"), F.xxhash64(F.lit(-1 - draw), body).alias("other")).groupBy("node")
+        seen = seen.agg(F.min("other").alias("lo"), F.max("other").alias("hi"), F.count(F.lit(1)).alias("rows"))
+        shared, most = seen.agg(F.count_if(F.col("lo") != F.col("hi")), F.max("rows")).first()
+        if not shared:
+            texts = docs.select(node.alias("node"), body.alias("body"))
+            return (texts.dropDuplicates(["node"]) if (most or 0) > 1 else texts), node
+        draw += 1
+
+
 def keep_one_similar(docs: DataFrame, words: int = SHINGLE_WORDS, least: Fraction = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` with one row for each group of near copies: the one of the smallest
     doc_id, then the smallest text hash; of repeated rows one stays. Near copies are texts whose
     shingles reach the similarity, and what hangs together by them. Null text counts as empty, and
     texts without words are copies of each other. A row without a doc_id is dropped where a row with
     one is in its group. All columns are returned as they are."""
-    body = whole_text()
-    texts = docs.select(F.xxhash64(body).alias("node"), body.alias("body"))
+    texts, node = numbered_texts(docs)
     groups = staged(linked_texts(texts, words, least), "groups")
-    marked = docs.select("doc_id", F.xxhash64(body).alias("node")).join(groups, "node", "left")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col("node").alias("text_hash"))).alias("first")
+    marked = docs.select("doc_id", node.alias("node"), F.xxhash64(whole_text()).alias("text_hash")).join(groups, "node", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first")
     stay = marked.groupBy(F.coalesce("root", "node").alias("group")).agg(first)
     return keep_rows(docs, stay.select("first.doc_id", "first.text_hash"))

@@ -66,3 +66,35 @@ def test_odd_rows(docs, rows):
 
 def test_no_rows(no_docs):
     assert similar.keep_one_similar(no_docs).count() == 0
+
+
+def test_postings_travel_once(spark):
+    rows = [(1, 10, 5, 0), (1, 11, 6, 1), (2, 10, 5, 1), (3, 12, 9, 0), (3, 12, 9, 1)]
+    rows = spark.createDataFrame(rows, "shingle long, node long, n int, at int").repartition(2)
+    found = similar.met_rows(rows.mapInPandas(lambda batches: batches, rows.schema))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 10, 5, 0), (1, 11, 6, 1)]
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bound_loses_no_pair(spark):
+    rng = random.Random(4)
+    least = Fraction(4, 5)
+    rows, wanted = [], set()
+    sets = []
+    for node in range(160):
+        base = set(rng.sample(range(60), rng.randint(1, 40))) if node % 4 == 0 else set(sets[-1])
+        for _ in range(rng.randint(0, 4)):
+            base ^= {rng.randrange(60)}
+        sets.append(base or {0})
+    for node, own in enumerate(sets):
+        ordered = sorted(own)[: similar.prefix_length(len(own), least)]
+        rows += [(s, node, len(own), at, node) for at, s in enumerate(ordered)]
+        for other in range(node):
+            common = len(own & sets[other])
+            if Fraction(common, len(own) + len(sets[other]) - common) >= least:
+                wanted.add((other, node))
+    frame = spark.createDataFrame(rows, "shingle long, node long, n int, at int, root long")
+    found = [tuple(r) for r in similar.apart_pairs(frame, least).collect()]
+    assert len(found) == len(set(found)) and wanted <= set(found) and wanted
+    met = {(a, b) for a in range(160) for b in range(a + 1, 160) if sets[a] & sets[b]}
+    assert len(found) < len(met)
