@@ -13,7 +13,8 @@ def test_stages_in_order_and_columns(spark, sf_dir):
         assert 0 < after <= before
         assert name == corpus_pipeline.STAGES[-1][0] or docs.columns == columns
         before = after
-    assert docs.columns == [*columns, "piece_ids", "n_pieces"]
+    assert docs.columns == [*columns, "piece_ids", "n_pieces", "round_trip"]
+    assert docs.filter("NOT round_trip").isEmpty()
     assert docs.select("text").distinct().count() == before
     every = corpus_pipeline.table(spark, sf_dir, "documents").collect()
     assert {tuple(r)[: len(columns)] for r in docs.collect()} <= {tuple(r) for r in every}
