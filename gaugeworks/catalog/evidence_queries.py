@@ -440,6 +440,66 @@ def participation_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.participation_summary(participation_by_rank(spark, sf_dir))
 
 
+# The audit in SQL: counts per rank and name, no lists.
+_NAMES = sorted({*E.BASE_EVENTS, *(e for own in E.MODE_EVENTS.values() for e in own), "strategy_summary"})
+_ASKED = {
+    **{e: "true" for e in E.BASE_EVENTS},
+    "measurement_interval": "mode <> 'smoke'",
+    "model_ready": "mode IN ('ddp_train', 'sparse_sync_training')",
+    "forward_complete": "mode IN ('ddp_train', 'sparse_sync_training')",
+    "backward_complete": "mode IN ('ddp_train', 'sparse_sync_training')",
+    "gradient_sync_complete": "mode = 'ddp_train'",
+    "optimizer_step_complete": "mode = 'ddp_train'",
+    "memory_peak": "mode IN ('ddp_train', 'sparse_sync_training', 'synthetic_communication_decoy')",
+    "collective_complete": "mode = 'calibration'",
+    "measurement_start": "mode = 'idle'",
+    "measurement_end": "mode = 'idle'",
+    "process_group_destroyed": "mode = 'idle'",
+    "parameter_average_complete": "mode = 'sparse_sync_training'",
+    "decoy_burst_complete": "mode = 'synthetic_communication_decoy'",
+    "strategy_summary": "designation = 'adversarial'",
+}
+
+
+def _audit_rank(r: int) -> str:
+    absent = ", ".join(f"CASE WHEN {_ASKED[e]} AND coalesce(n{r}_{e}, 0) = 0 THEN '{e}' END" for e in _NAMES)
+    interval = f"s{r} IS NULL OR e{r} IS NULL OR d{r} IS NULL OR e{r} < s{r} OR d{r} < 0 OR abs(d{r} - (e{r} - s{r}) / CAST(1000000000 AS DOUBLE)) > 0.000001"
+    return f"""CASE WHEN concat_ws('+', {absent}) <> '' THEN concat('rank_{r}_missing:', concat_ws('+', {absent})) END,
+      CASE WHEN coalesce(n{r}_startup, 0) = 0 THEN 'rank_{r}_without_identity' END,
+      CASE WHEN n{r}_measurement_interval > 0 AND ({interval}) THEN 'rank_{r}_invalid_interval' END"""
+
+
+def _audit_facts(r: int) -> str:
+    counts = [f"count(*) FILTER (WHERE rank = {r} AND event = '{e}') AS n{r}_{e}" for e in (*_NAMES, "failure")]
+    first = {"k": "startup_rank", "l": "local_rank", "g": "gpu_index", "u": "gpu_uuid", "w": "world_size", "b": "backend"}
+    values = [f"arg_min_null({c}, mono_ns) FILTER (WHERE rank = {r} AND event = 'startup') AS {n}{r}" for n, c in first.items()]
+    last = {"s": "interval_start_ns", "e": "interval_end_ns", "d": "measured_duration_seconds"}
+    values += [f"arg_min_null({c}, mono_ns) FILTER (WHERE rank = {r} AND event = 'measurement_interval') AS {n}{r}" for n, c in last.items()]
+    return ", ".join(counts + values)
+
+
+def _swapped(n: str) -> str:
+    return f"CASE WHEN n0_startup > 0 AND n1_startup > 0 AND NOT coalesce({n}0 + {n}1 = 1 AND {n}0 * {n}1 = 0 AND {n}0 IN (0, 1), false)"
+
+
+EXTRA["run_audit"] = f"""
+SELECT run_id, mode, designation, concat_ws(',', {_audit_rank(0)}, {_audit_rank(1)},
+    {_swapped("k")} THEN 'ranks_not_zero_and_one' END, {_swapped("l")} THEN 'local_ranks_not_zero_and_one' END, {_swapped("g")} THEN 'devices_not_zero_and_one' END,
+    CASE WHEN n0_startup > 0 AND n1_startup > 0 AND u0 IS NOT DISTINCT FROM u1 THEN 'device_uuids_not_distinct' END,
+    CASE WHEN n0_startup > 0 AND n1_startup > 0 AND (w0 IS DISTINCT FROM 2 OR w1 IS DISTINCT FROM 2) THEN 'world_size_not_two' END,
+    CASE WHEN n0_startup > 0 AND n1_startup > 0 AND (b0 IS DISTINCT FROM 'nccl' OR b1 IS DISTINCT FROM 'nccl') THEN 'backend_not_nccl' END) AS problems,
+  CASE WHEN coalesce(n0_failure, 0) > 0 OR coalesce(n0_completion, 0) = 0 THEN 1 ELSE 0 END AS rank_0_exit,
+  CASE WHEN coalesce(n1_failure, 0) > 0 OR coalesce(n1_completion, 0) = 0 THEN 1 ELSE 0 END AS rank_1_exit
+FROM {{audit_runs}} r LEFT JOIN (SELECT run_id, {_audit_facts(0)}, {_audit_facts(1)} FROM {{audit_events}} GROUP BY run_id) f USING (run_id)
+"""
+
+
+@query("participation_audit", "A-40 X-01 X-03", "SELECT *, problems = '' AS participation_valid FROM {run_audit}", EXTRA)
+def participation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = E.participation_audit(view(spark, sf_dir, "audit_runs"), view(spark, sf_dir, "audit_events"))
+    return found.withColumn("problems", F.array_join("problems", ","))
+
+
 @query(
     "collector_diagnostics",
     "A-38 W-02",

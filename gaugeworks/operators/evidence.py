@@ -127,6 +127,88 @@ def participation_summary(per_rank: DataFrame) -> DataFrame:
     )
 
 
+STARTUP_FACTS = ("startup_rank", "local_rank", "gpu_index", "gpu_uuid", "world_size", "backend")
+INTERVAL_FACTS = ("interval_start_ns", "interval_end_ns", "measured_duration_seconds")
+RANKS = (0, 1)
+
+
+def required_events(mode: Column, designation: Column) -> Column:
+    """Events that each rank must log; a mode without a list of its own asks for the interval alone."""
+    lists = [x for m, own in MODE_EVENTS.items() for x in (F.lit(m), F.array(*[F.lit(e) for e in own]).cast("array<string>"))]
+    own = F.coalesce(F.try_element_at(F.create_map(*lists), mode), F.array(F.lit("measurement_interval")))
+    summary = F.when(designation == "adversarial", F.array(F.lit("strategy_summary"))).otherwise(F.array().cast("array<string>"))
+    return F.array_sort(F.array_union(F.concat(F.array(*[F.lit(e) for e in BASE_EVENTS]), own), summary))
+
+
+def rank_facts(events: DataFrame) -> DataFrame:
+    """One row per (run, rank): known event names seen, and the details of the first startup and of
+    the first measurement interval in log order. All are partial aggregates of bounded size."""
+    names = sorted({*BASE_EVENTS, *(e for own in MODE_EVENTS.values() for e in own), "strategy_summary", "failure"})
+    startup, interval = F.col("event") == "startup", F.col("event") == "measurement_interval"
+    order = ("mono_ns", *STARTUP_FACTS, *INTERVAL_FACTS)
+    return events.where(F.col("rank").isin(*RANKS)).groupBy("run_id", "rank").agg(
+        F.collect_set(F.when(F.col("event").isin(*names), F.col("event"))).alias("seen"),
+        F.min(F.when(startup, F.struct(*order))).alias("startup"),
+        F.min(F.when(interval, F.struct(*order))).alias("interval"),
+    )
+
+
+def participation_audit(runs: DataFrame, events: DataFrame) -> DataFrame:
+    """Every problem of the two ranks of each run, in a fixed order, with exit codes and the verdict.
+
+    ``runs`` (run_id, mode, designation); ``events`` (run_id, rank of the log, event, mono_ns and the
+    details of startups and intervals, null elsewhere). A rank without a log lacks all its events.
+    Details that could not be read as numbers are null, and fail their check. The identities of the
+    ranks are compared only where both have a startup.
+    """
+    facts = rank_facts(events).groupBy("run_id").agg(
+        *[F.max(F.when(F.col("rank") == r, F.struct("seen", "startup", "interval"))).alias(f"r{r}") for r in RANKS]
+    )
+    every = runs.select("run_id", "mode", "designation").join(facts, "run_id", "left")
+    wanted = required_events(F.col("mode"), F.col("designation"))
+    problems, exits = [], {}
+    for r in RANKS:
+        seen = F.coalesce(F.col(f"r{r}.seen"), F.array().cast("array<string>"))
+        missing = F.array_except(wanted, seen)
+        problems.append(F.when(F.size(missing) > 0, F.concat(F.lit(f"rank_{r}_missing:"), F.array_join(missing, "+"))))
+        problems.append(F.when(F.col(f"r{r}.startup").isNull(), f"rank_{r}_without_identity"))
+        start, end = F.col(f"r{r}.interval.interval_start_ns"), F.col(f"r{r}.interval.interval_end_ns")
+        length = F.col(f"r{r}.interval.measured_duration_seconds")
+        sound = (end >= start) & (length >= 0) & (F.abs(length - (end - start) / F.lit(1e9)) <= 1e-6)
+        problems.append(F.when(F.col(f"r{r}.interval").isNotNull() & ~F.coalesce(sound, F.lit(False)), f"rank_{r}_invalid_interval"))
+        failed = F.array_contains(seen, "failure") | ~F.array_contains(seen, "completion")
+        exits[f"rank_{r}_exit"] = F.when(failed, 1).otherwise(0)
+
+    def of(fact: str) -> tuple[Column, Column]:
+        return F.col(f"r0.startup.{fact}"), F.col(f"r1.startup.{fact}")
+
+    def zero_and_one(fact: str) -> Column:
+        a, b = of(fact)
+        return F.coalesce(((a == 0) & (b == 1)) | ((a == 1) & (b == 0)), F.lit(False))
+
+    def both(fact: str, value: object) -> Column:
+        a, b = of(fact)
+        return a.eqNullSafe(F.lit(value)) & b.eqNullSafe(F.lit(value))
+
+    uuid_a, uuid_b = of("gpu_uuid")
+    known = F.col("r0.startup").isNotNull() & F.col("r1.startup").isNotNull()
+    identity = {
+        "ranks_not_zero_and_one": ~zero_and_one("startup_rank"),
+        "local_ranks_not_zero_and_one": ~zero_and_one("local_rank"),
+        "devices_not_zero_and_one": ~zero_and_one("gpu_index"),
+        "device_uuids_not_distinct": uuid_a.eqNullSafe(uuid_b),
+        "world_size_not_two": ~both("world_size", 2),
+        "backend_not_nccl": ~both("backend", "nccl"),
+    }
+    problems += [F.when(known & rule, name) for name, rule in identity.items()]
+    found = F.array_compact(F.array(*problems))
+    return every.select(
+        "run_id", "mode", "designation", found.alias("problems"),
+        *[code.alias(name) for name, code in exits.items()],
+        (F.size(found) == 0).alias("participation_valid"),
+    )
+
+
 def collector_diagnostics(telemetry: DataFrame, requested_interval_s: float, width: int = SEGMENT_NS) -> DataFrame:
     """Interval mean, spread, largest jitter, overruns and missing share per field, per run and device."""
     keys = ["run_id", "gpu_index"]

@@ -260,6 +260,39 @@ SELECT CAST(floor(o_custkey / CAST(15 AS DOUBLE)) AS BIGINT) AS run_id,
          CAST(CAST(floor(o_orderkey / CAST(9 AS DOUBLE)) AS BIGINT) % CASE WHEN o_custkey % 17 = 3 THEN 1 ELSE 2 END AS STRING)) AS gpu_uuid
 FROM {orders}
 """
+# Event logs of all modes: five customers are a run, an order is an event; runs differ in what is wrong.
+VIEWS["audit_events"] = """
+SELECT *, CASE WHEN event <> 'measurement_interval' THEN NULL WHEN run_id % 11 = 2 AND rank = 1 THEN CAST(1.5 AS DOUBLE) + span
+            WHEN run_id % 53 = 7 THEN NULL ELSE span END AS measured_duration_seconds
+FROM (SELECT *, CAST(interval_end_ns - interval_start_ns AS DOUBLE) / CAST(1000000000 AS DOUBLE) AS span
+FROM (SELECT run_id, rank, event, mono_ns,
+  CASE WHEN event <> 'startup' THEN NULL WHEN run_id % 37 = 9 THEN 0 ELSE rank END AS startup_rank,
+  CASE WHEN event <> 'startup' THEN NULL WHEN run_id % 19 = 3 THEN 1 WHEN run_id % 67 = 5 THEN NULL ELSE 1 - rank END AS local_rank,
+  CASE WHEN event <> 'startup' THEN NULL WHEN run_id % 23 = 4 THEN rank + 1 ELSE rank END AS gpu_index,
+  CASE WHEN event <> 'startup' THEN NULL WHEN run_id % 71 = 8 THEN NULL
+       ELSE concat('GPU-', CAST(run_id % 7 AS STRING), '-', CAST(CASE WHEN run_id % 13 = 5 THEN 0 ELSE rank END AS STRING)) END AS gpu_uuid,
+  CASE WHEN event <> 'startup' THEN NULL WHEN run_id % 29 = 6 THEN 2 + rank ELSE 2 END AS world_size,
+  CASE WHEN event <> 'startup' THEN NULL WHEN run_id % 31 = 1 AND rank = 1 THEN 'gloo' ELSE 'nccl' END AS backend,
+  CASE WHEN event = 'measurement_interval' THEN mono_ns END AS interval_start_ns,
+  CASE WHEN event = 'measurement_interval' THEN mono_ns + CASE WHEN run_id % 41 = 10 THEN -5 ELSE 30000000000 END END AS interval_end_ns
+FROM (SELECT CAST(floor(o_custkey / CAST(5 AS DOUBLE)) AS BIGINT) AS run_id, CAST(floor(o_orderkey / CAST(16 AS DOUBLE)) AS BIGINT) % 2 AS rank,
+  CAST(o_orderkey AS BIGINT) * 1000000 AS mono_ns,
+  CASE o_orderkey % 16 WHEN 0 THEN 'startup' WHEN 1 THEN 'cuda_operation_complete' WHEN 2 THEN 'heartbeat' WHEN 3 THEN 'completion'
+    WHEN 4 THEN 'measurement_interval' WHEN 5 THEN 'model_ready' WHEN 6 THEN 'forward_complete' WHEN 7 THEN 'backward_complete'
+    WHEN 8 THEN 'gradient_sync_complete' WHEN 9 THEN 'optimizer_step_complete' WHEN 10 THEN 'memory_peak' WHEN 11 THEN 'collective_complete'
+    WHEN 12 THEN CASE WHEN o_custkey % 2 = 0 THEN 'parameter_average_complete' ELSE 'decoy_burst_complete' END
+    WHEN 13 THEN 'strategy_summary' WHEN 14 THEN CASE WHEN o_custkey % 3 = 0 THEN 'measurement_start' WHEN o_custkey % 3 = 1 THEN 'measurement_end' ELSE 'process_group_destroyed' END
+    ELSE CASE WHEN o_custkey % 83 = 4 THEN 'failure' ELSE 'noted' END END AS event
+FROM {orders}) e) f) g
+"""
+# The runs of those logs, also those of customers without any order.
+VIEWS["audit_runs"] = """
+SELECT DISTINCT CAST(floor(c_custkey / CAST(5 AS DOUBLE)) AS BIGINT) AS run_id,
+  CASE CAST(floor(c_custkey / CAST(5 AS DOUBLE)) AS BIGINT) % 8 WHEN 0 THEN 'smoke' WHEN 1 THEN 'ddp_train' WHEN 2 THEN 'calibration' WHEN 3 THEN 'idle'
+    WHEN 4 THEN 'sparse_sync_training' WHEN 5 THEN 'synthetic_communication_decoy' WHEN 6 THEN 'inference' ELSE 'control' END AS mode,
+  CASE WHEN CAST(floor(c_custkey / CAST(5 AS DOUBLE)) AS BIGINT) % 8 IN (4, 5) THEN 'adversarial' ELSE 'benign' END AS designation
+FROM {customer}
+"""
 # Workload registry: one entry per part; a brand is a profile.
 VIEWS["workloads"] = """
 SELECT p_partkey AS entry_id, p_brand AS profile,
