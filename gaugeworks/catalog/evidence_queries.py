@@ -77,6 +77,58 @@ def rank_evidence_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _evidence_sql(rank: int) -> str:
+    base = f"""$.rank_runtime_evidence."{rank}\""""
+    summary = f"{base}.strategy_summary"
+
+    def kind(path: str) -> str:
+        return f"coalesce(json_type(config, '{path}'), 'NULL')"
+
+    def no_count(path: str) -> str:
+        return f"({kind(path)} NOT IN ('UBIGINT', 'BIGINT') OR TRY_CAST(json_extract_string(config, '{path}') AS BIGINT) < 0)"
+
+    def no_number(path: str) -> str:
+        return f"({kind(path)} NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE') OR TRY_CAST(json_extract_string(config, '{path}') AS DOUBLE) < 0)"
+
+    def text(path: str) -> str:
+        return f"(CASE WHEN {kind(path)} = 'VARCHAR' THEN nullif(json_extract_string(config, '{path}'), '') END)"
+
+    actual, expected = f"{summary}.actual_sync_rounds", f"{summary}.expected_sync_rounds"
+    rules = {
+        "sync_counts_invalid": f"{no_count(actual)} OR {no_count(expected)}",
+        "sync_counts_differ": f"NOT {no_count(actual)} AND NOT {no_count(expected)} AND json_extract(config, '{actual}') <> json_extract(config, '{expected}')",
+        **{f"{n}_invalid": no_count(f"{summary}.{n}") for n in R.EVIDENCE_COUNTS},
+        **{f"{n}_invalid": f"{kind(f'{summary}.{n}')} <> 'NULL' AND {no_number(f'{summary}.{n}')}" for n in R.EVIDENCE_METRICS},
+        "wall_time_s_invalid": no_number(f"{summary}.wall_time_s"),
+        **{f"{n}_empty": f"{text(f'{summary}.{n}')} IS NULL" for n in R.EVIDENCE_TEXTS},
+        "strategy_mismatch": f"{text(f'{summary}.strategy_id')} IS DISTINCT FROM {text('$.strategy_id')}",
+        "scored_at_run_time": f"{kind(f'{summary}.detector_score')} <> 'NULL' OR {kind(f'{summary}.detector_model')} <> 'NULL' OR {text(f'{summary}.detector_score_status')} IS DISTINCT FROM '{R.UNSCORED}'",
+        "memory_peak_invalid": f"{no_count(f'{base}.memory_peak.allocated_bytes')} OR {no_count(f'{base}.memory_peak.reserved_bytes')}",
+        "parameters_disagree": f"workload_label = 'training' AND coalesce(json_extract_string(config, '{summary}.parameter_state_agreement'), '') <> 'true'",
+    }
+    found = [f"CASE WHEN {kind(summary)} <> 'OBJECT' THEN 'rank_{rank}_summary_missing' END"]
+    found += [f"CASE WHEN {kind(summary)} = 'OBJECT' AND ({rule}) THEN 'rank_{rank}_{name}' END" for name, rule in rules.items()]
+    return ", ".join(found)
+
+
+_ROUNDS = [f"""CASE WHEN json_type(config, '$.rank_runtime_evidence."{r}".strategy_summary.actual_sync_rounds') = 'UBIGINT'
+    THEN json_extract_string(config, '$.rank_runtime_evidence."{r}".strategy_summary.actual_sync_rounds') END""" for r in (0, 1)]
+
+
+@query(
+    "rank_evidence_audit",
+    "S-06 F-11",
+    f"""SELECT run_id, concat_ws(',',
+          CASE WHEN list_sort(coalesce(json_keys(config, '$.rank_runtime_evidence'), [])) <> ['0', '1'] THEN 'ranks_not_zero_and_one' END,
+          {_evidence_sql(0)}, {_evidence_sql(1)}, CASE WHEN {_ROUNDS[0]} <> {_ROUNDS[1]} THEN 'ranks_disagree_on_rounds' END) AS problems
+        FROM {{evidence_manifests}} WHERE designation = 'adversarial' AND exit_status = 'completed' AND participation_valid""",
+    EXTRA,
+)
+def rank_evidence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = R.rank_evidence_audit(view(spark, sf_dir, "evidence_manifests"))
+    return found.withColumn("problems", F.array_join("problems", ","))
+
+
 @query(
     "migrated_manifests",
     "S-07",

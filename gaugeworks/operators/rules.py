@@ -108,6 +108,75 @@ def rank_evidence_problems(manifests: DataFrame) -> DataFrame:
     return every.select("run_id", violations(rules).alias("violations"))
 
 
+# --- fixed values: names inside the evidence of a rank ---
+EVIDENCE_COUNTS = ("communication_bytes_proxy", "optimizer_steps", "inference_steps", "processed_tokens")
+EVIDENCE_METRICS = ("throughput_tokens_per_s", "final_loss_proxy", "detector_score")
+EVIDENCE_TEXTS = ("strategy_id", "communication_proxy_definition", "detector_score_status")
+UNSCORED = "pending_frozen_evaluation"
+# ---------------------------------------------------------
+
+
+def rank_evidence_audit(manifests: DataFrame) -> DataFrame:
+    """Every problem of the rank evidence of completed adversarial runs, rank by rank and between ranks.
+
+    ``config`` is parsed once as a variant, which keeps the types of its values apart: 1.0 is no
+    count and true is no number. Null, and a text that is no JSON, are a run without evidence. A rank
+    without a summary has that problem alone. No shuffle: both ranks are in one row.
+    """
+    current = F.col("schema_version") == CURRENT_VERSION
+    done = current & (F.col("designation") == "adversarial") & (F.col("exit_status") == "completed") & F.col("participation_valid")
+    # The parsed value stays next to the text, so the rules read one parse and not one each.
+    rows = manifests.where(done).select("run_id", "workload_label", F.try_parse_json("config").alias("parsed"))
+
+    def part(path: str, kind: str) -> Column:
+        return F.try_variant_get("parsed", path, kind)
+
+    def kind_of(path: str) -> Column:
+        return F.coalesce(F.schema_of_variant(part(path, "variant")), F.lit("VOID"))
+
+    def count(path: str) -> Column:
+        """A whole number of zero or more, else null."""
+        return F.when((kind_of(path) == "BIGINT") & (part(path, "bigint") >= 0), part(path, "bigint"))
+
+    def number(path: str) -> Column:
+        """Whether there is a finite number of zero or more."""
+        value = part(path, "double")
+        numeric = kind_of(path).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+        return F.coalesce(numeric & (value >= 0) & (value < float("inf")), F.lit(False))
+
+    def text(path: str) -> Column:
+        return F.when((kind_of(path) == "STRING") & (part(path, "string") != ""), part(path, "string"))
+
+    evidence = "$.rank_runtime_evidence"
+    keys = F.map_keys(F.try_variant_get("parsed", evidence, "map<string,variant>"))
+    exact = F.coalesce(F.array_sort(keys) == F.array(F.lit("0"), F.lit("1")), F.lit(False))
+    problems, rounds = [F.when(~exact, "ranks_not_zero_and_one")], []
+    for rank in ("0", "1"):
+        base = f'{evidence}["{rank}"]'
+        summary = f"{base}.strategy_summary"
+        actual, expected = count(f"{summary}.actual_sync_rounds"), count(f"{summary}.expected_sync_rounds")
+        rounds.append(actual)
+        rules = {"sync_counts_invalid": actual.isNull() | expected.isNull(), "sync_counts_differ": actual != expected}
+        rules |= {f"{name}_invalid": count(f"{summary}.{name}").isNull() for name in EVIDENCE_COUNTS}
+        rules |= {
+            f"{name}_invalid": (kind_of(f"{summary}.{name}") != "VOID") & ~number(f"{summary}.{name}") for name in EVIDENCE_METRICS
+        }
+        rules["wall_time_s_invalid"] = ~number(f"{summary}.wall_time_s")
+        rules |= {f"{name}_empty": text(f"{summary}.{name}").isNull() for name in EVIDENCE_TEXTS}
+        rules["strategy_mismatch"] = ~text(f"{summary}.strategy_id").eqNullSafe(text("$.strategy_id"))
+        scored = (kind_of(f"{summary}.detector_score") != "VOID") | (kind_of(f"{summary}.detector_model") != "VOID")
+        rules["scored_at_run_time"] = scored | ~text(f"{summary}.detector_score_status").eqNullSafe(F.lit(UNSCORED))
+        memory = [count(f"{base}.memory_peak.{name}_bytes").isNull() for name in ("allocated", "reserved")]
+        rules["memory_peak_invalid"] = memory[0] | memory[1]
+        agreed = (kind_of(f"{summary}.parameter_state_agreement") == "BOOLEAN") & part(f"{summary}.parameter_state_agreement", "boolean")
+        rules["parameters_disagree"] = (F.col("workload_label") == "training") & ~F.coalesce(agreed, F.lit(False))
+        whole = kind_of(summary).startswith("OBJECT")
+        problems.append(F.when(~whole, f"rank_{rank}_summary_missing"))
+        problems += [F.when(whole & rule, f"rank_{rank}_{name}") for name, rule in rules.items()]
+    problems.append(F.when(rounds[0] != rounds[1], "ranks_disagree_on_rounds"))
+    return rows.select("run_id", F.array_compact(F.array(*problems)).alias("problems"))
+
+
 def migrate_legacy(manifests: DataFrame) -> DataFrame:
     """Non-destructive 2.0 view of 1.0 rows, marked so that they are never used for splits."""
     legacy = F.col("schema_version") == LEGACY_VERSION

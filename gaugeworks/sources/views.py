@@ -293,6 +293,46 @@ SELECT DISTINCT CAST(floor(c_custkey / CAST(5 AS DOUBLE)) AS BIGINT) AS run_id,
   CASE WHEN CAST(floor(c_custkey / CAST(5 AS DOUBLE)) AS BIGINT) % 8 IN (4, 5) THEN 'adversarial' ELSE 'benign' END AS designation
 FROM {customer}
 """
+def _rank_summary(rank: int) -> str:
+    """JSON text of one rank's evidence; every kind of fault in some orders, at other ones for each rank."""
+    faults = iter(range(3 + 17 * rank, 100))
+
+    def value(sound: str, wrong: str, every: int) -> str:
+        return f"CASE WHEN o_orderkey % {every} = {next(faults)} THEN '{wrong}' ELSE {sound} END"
+
+    entries = {
+        "actual_sync_rounds": value("CAST(o_orderkey % 90 AS STRING)", "-1", 101),
+        "expected_sync_rounds": value("CAST(o_orderkey % 90 AS STRING)", "7.0", 103),
+        "communication_bytes_proxy": value("CAST(o_orderkey % 5000 AS STRING)", "null", 107),
+        "optimizer_steps": value("'12'", "-12", 109),
+        "inference_steps": value("'0'", '"3"', 113),
+        "processed_tokens": value("CAST(o_orderkey AS STRING)", "1.5", 127),
+        "throughput_tokens_per_s": value("'250.25'", "true", 131),
+        "final_loss_proxy": value("'null'", "-0.5", 137),
+        "detector_score": value("'null'", "0.75", 139),
+        "wall_time_s": value("'31.5'", "null", 149),
+        "strategy_id": value("""concat('"s-', CAST(o_orderkey % 5 AS STRING), '"')""", '"other"', 151),
+        "communication_proxy_definition": value("""'"bytes of all rounds"'""", '""', 157),
+        "detector_score_status": value("""'"pending_frozen_evaluation"'""", '"done"', 163),
+        "parameter_state_agreement": value("'true'", "false", 167),
+    }
+    body = ", ',', ".join(f"""'"{name}":', {text}""" for name, text in entries.items())
+    memory = value("""'{"allocated_bytes":5,"reserved_bytes":9}'""", '{"allocated_bytes":5}', 173)
+    return f"""concat('{{"strategy_summary":{{', {body}, '}},"memory_peak":', {memory}, '}}')"""
+
+
+# Manifests with the whole evidence of both ranks.
+VIEWS["evidence_manifests"] = f"""
+SELECT concat('run-', CAST(o_orderkey AS STRING)) AS run_id, '2.0' AS schema_version,
+  CASE WHEN o_orderkey % 5 = 1 THEN 'benign' ELSE 'adversarial' END AS designation,
+  CASE WHEN o_orderkey % 17 = 2 THEN 'failed' ELSE 'completed' END AS exit_status, o_orderkey % 19 <> 4 AS participation_valid,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'inference' ELSE 'training' END AS workload_label,
+  CASE WHEN o_orderkey % 211 = 8 THEN NULL WHEN o_orderkey % 223 = 9 THEN '{{"strategy_id":"s-1"}}'
+    ELSE concat('{{"strategy_id":"s-', CAST(o_orderkey % 5 AS STRING), '","rank_runtime_evidence":{{"0":', {_rank_summary(0)},
+      CASE WHEN o_orderkey % 227 = 10 THEN '' ELSE concat(',"1":', CASE WHEN o_orderkey % 229 = 11 THEN '{{"memory_peak":null}}' ELSE {_rank_summary(1)} END) END,
+      CASE WHEN o_orderkey % 233 = 12 THEN ',"2":null' ELSE '' END, '}}}}') END AS config
+FROM {{orders}}
+"""
 # Workload registry: one entry per part; a brand is a profile.
 VIEWS["workloads"] = """
 SELECT p_partkey AS entry_id, p_brand AS profile,
