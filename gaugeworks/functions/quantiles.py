@@ -3,21 +3,27 @@
 ``percentile`` keeps every distinct value of a group in one aggregation buffer. That is
 fine for a window, not for a sweep, family or run that may hold a third of the table.
 Here a sketch only narrows the search: it brackets the wanted rank, values inside the
-bracket are counted, values below it are only tallied, and the exact value is read off
-the counts. All heavy steps combine map-side; no group is gathered in one place.
+bracket are counted, of the values on either side only their number and the nearest one
+are kept, and the exact value is read off the counts. All heavy steps combine map-side,
+and the counts are ordered in cells of the bracket; no group is gathered in one place.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.segments import running_totals
+
 ACCURACY = 2000
-# Rank error of the sketch is at most n / ACCURACY; twice that on each side is safe.
+# Rank error of the sketch is at most n / ACCURACY; twice that on each side is safe. The sketch
+# counts ranks by n * p and not by (n - 1) * p, so the wanted rank may still be the next one
+# outside the bracket: the nearest value on either side covers that, in groups of any size.
 MARGIN = 2.0 / ACCURACY
-SMALL_GROUP = 4 * ACCURACY
+# Parts of a bracket that are ordered each on its own.
+CELLS = 4096
 
 
 def exact_quantiles(
@@ -31,12 +37,8 @@ def exact_quantiles(
         min(1.0, max(0.0, p + side * MARGIN)) for p in probabilities.values() for side in (-1, 1)
     ]
     sketch = rows.groupBy(*keys).agg(
-        F.count("v").alias("n"),
-        F.min("v").alias("least"),
-        F.max("v").alias("most"),
-        F.percentile_approx("v", grid, ACCURACY).alias("cuts"),
+        F.count("v").alias("n"), F.percentile_approx("v", grid, ACCURACY).alias("cuts")
     )
-    small = F.col("n") <= SMALL_GROUP
     brackets = sketch.select(
         *keys,
         "n",
@@ -45,35 +47,44 @@ def exact_quantiles(
                 F.struct(
                     F.lit(name).alias("name"),
                     ((F.col("n") - 1) * F.lit(float(p))).alias("position"),
-                    F.when(small, F.col("least")).otherwise(F.col("cuts")[2 * i]).alias("low"),
-                    F.when(small, F.col("most")).otherwise(F.col("cuts")[2 * i + 1]).alias("high"),
+                    F.col("cuts")[2 * i].alias("low"),
+                    F.col("cuts")[2 * i + 1].alias("high"),
                 )
                 for i, (name, p) in enumerate(probabilities.items())
             ]
         ).alias("wanted"),
     )
-    searched = (
+    # Side of the bracket: below, inside, above. Halves, so that no difference overflows; where an
+    # end is infinite all values share a cell.
+    side = F.when(F.col("v") < F.col("low"), -1).when(F.col("v") > F.col("high"), 1).otherwise(0)
+    share = (F.col("v") / 2 - F.col("low") / 2) / F.nullif(F.col("high") / 2 - F.col("low") / 2, F.lit(0.0))
+    cell = F.floor(F.nanvl(F.coalesce(share, F.lit(0.0)), F.lit(0.0)) * CELLS)
+    counted = (
         rows.join(brackets, keys)
         .select(*keys, "n", "v", F.inline("wanted"))
-        .where(F.col("v") <= F.col("high"))
-        .select(
+        .withColumn("side", side)
+        .groupBy(
             *keys,
             "n",
             "name",
             "position",
-            F.when(F.col("v") >= F.col("low"), F.col("v")).alias("candidate"),
+            "side",
+            F.when(F.col("side") == 0, cell).otherwise(F.col("side") * (CELLS + 1)).alias("cell"),
+            F.when(F.col("side") == 0, F.col("v")).alias("candidate"),
         )
+        .agg(F.count(F.lit(1)).alias("copies"), F.min("v").alias("least"), F.max("v").alias("most"))
     )
-    counted = searched.groupBy(*keys, "n", "name", "position", "candidate").agg(
-        F.count(F.lit(1)).alias("copies")
+    ranked = running_totals(
+        counted, [*keys, "name"], ["side", "candidate"], [F.col("cell")], {"rows": F.col("copies")}
     )
-    ordered = Window.partitionBy(*keys, "name").orderBy(F.col("candidate").asc_nulls_first())
-    upto = F.sum("copies").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("upto", upto).where("candidate IS NOT NULL")
+    first, last = F.col("rows_before"), F.col("rows_before") + F.col("copies") - 1
 
     def at(rank: Column) -> Column:
-        inside = (F.col("upto") - F.col("copies") <= rank) & (rank < F.col("upto"))
-        return F.max(F.when(inside, F.col("candidate")))
+        inside = (F.col("side") == 0) & rank.between(first, last)
+        nearest = F.when((F.col("side") < 0) & (rank == last), F.col("most")).when(
+            (F.col("side") > 0) & (rank == first), F.col("least")
+        )
+        return F.max(F.when(inside, F.col("candidate")).otherwise(nearest))
 
     low, high = F.floor("position"), F.ceil("position")
     picked = ranked.groupBy(*keys, "n", "name", "position").agg(

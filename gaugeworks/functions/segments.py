@@ -103,6 +103,17 @@ def running_totals(
     return result.drop(*levels, *[f"_v_{n}" for n in names])
 
 
+def range_totals(
+    frame: DataFrame, keys: Sequence[str], order: Sequence[Column | str], values: dict[str, Column]
+) -> DataFrame:
+    """:func:`running_totals` over segments that Spark's range partitioning cuts by the data, for
+    orders whose values crowd together. What is gathered is one row per key and partition. The
+    cut rows are written before they are used, so a task that runs again cannot cut differently.
+    """
+    cut = frame.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    return running_totals(cut_lineage(cut), keys, order, [F.col("_range")], values).drop("_range")
+
+
 def row_numbers(frame: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
     """Numbers from 0 in the order of all rows, whatever their values look like.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.quantiles import exact_median, exact_quantiles
-from gaugeworks.functions.segments import running_totals
+from gaugeworks.functions.segments import range_totals
 from gaugeworks.operators.splits import SEED
 
 GRID = tuple(step / 20 for step in range(2, 19))
@@ -92,13 +92,8 @@ def rank_metrics(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     levels = scores.groupBy(*keys, "p").agg(
         F.sum(F.col("y").cast("long")).alias("pos"), F.sum((1 - F.col("y")).cast("long")).alias("neg")
     )
-    down = 1 - F.col("p")
-    counted = running_totals(
-        levels,
-        keys,
-        [F.col("p").desc()],
-        [F.floor(down * 1024), F.floor(down * 1048576)],
-        {"pos": F.col("pos"), "neg": F.col("neg")},
+    counted = range_totals(
+        levels, keys, [F.col("p").desc()], {"pos": F.col("pos"), "neg": F.col("neg")}
     )
     # Area in units of positive-negative pairs: every positive beats the negatives below it.
     tp = F.col("pos_before") + F.col("pos")

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import quantiles as Q
-from gaugeworks.functions.segments import previous_row, row_numbers, running_totals
+from gaugeworks.functions.segments import previous_row, range_totals, row_numbers, running_totals
 from gaugeworks.operators.calibration import CalibrationRules
 from gaugeworks.operators.rules import identifier
 from gaugeworks.session import ensure_checkpoint_dir
@@ -30,7 +30,6 @@ def test_quantiles_of_a_hot_key_are_exact(spark, ties):
     groups = {}
     for i in range(n):
         groups.setdefault(i % 5 if i % 3 == 0 else 99, []).append(float((i * 7919) % (200 if ties else 1_000_003)))
-    assert max(map(len, groups.values())) > Q.SMALL_GROUP
     found = Q.exact_quantiles(frame, ["k"], F.col("v"), {"a": 0.5, "b": 0.95, "c": 0.0, "d": 1.0}).collect()
     assert len(found) == len(groups)
     for row in found:
@@ -40,6 +39,27 @@ def test_quantiles_of_a_hot_key_are_exact(spark, ties):
             assert row[name] == pytest.approx(interpolated(values, p), abs=1e-9)
 
 
+def test_quantiles_of_groups_of_every_small_size(spark):
+    rng = random.Random(3)
+    sizes = [*range(1, 45), 499, 500, 501, 1999, 2001, 4003]
+    groups = {n: [rng.choice((rng.uniform(-1e6, 1e6), float(rng.randint(0, 9)))) for _ in range(n)] for n in sizes}
+    frame = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k long, v double")
+    wanted = {"p0": 0.0, "p01": 0.01, "p25": 0.25, "p50": 0.5, "p90": 0.9, "p95": 0.95, "p100": 1.0}
+    found = Q.exact_quantiles(frame.repartition(3), ["k"], F.col("v"), wanted).collect()
+    assert sorted(r["k"] for r in found) == sizes
+    for row in found:
+        for name, p in wanted.items():
+            assert row[name] == pytest.approx(interpolated(groups[row["k"]], p), rel=1e-12, abs=1e-9)
+
+
+def test_quantiles_at_the_ends_of_the_doubles(spark):
+    groups = {1: [-1.7e308, -1.0, 0.0, 1.0, 1.7e308], 2: [float("-inf"), 1.0, 2.0], 3: [1.0, 2.0, float("inf")], 4: [-0.0, 0.0, 0.0], 5: [7.0] * 9}
+    frame = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k int, v double")
+    found = {r["k"]: r["m"] for r in Q.exact_median(frame, ["k"], F.col("v"), "m").collect()}
+    assert found == {1: 0.0, 2: 1.0, 3: 2.0, 4: 0.0, 5: 7.0}
+    assert Q.exact_median(frame.limit(0), ["k"], F.col("v")).isEmpty()
+
+
 def test_median_and_mad(spark):
     frame = spark.createDataFrame([(1, v) for v in (1.0, 2.0, 10.0, None)], "k int, v double")
     row = Q.median_and_mad(frame, ["k"], F.col("v")).first()
@@ -72,6 +92,16 @@ def test_running_totals_equal_a_plain_window(events, how):
     assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
 
 
+def test_range_totals_of_crowded_scores_equal_a_plain_window(spark):
+    rng = random.Random(8)
+    rows = [("hot" if i % 3 else f"k{i % 4}", 1 - i * 1e-12, rng.randint(0, 9)) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "k string, p double, v long").repartition(5)
+    w = Window.partitionBy("k").orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = frame.select("k", "p", F.coalesce(F.sum("v").over(w), F.lit(0)).alias("b"))
+    cut = range_totals(frame, ["k"], [F.col("p").desc()], {"x": F.col("v")})
+    assert sorted(map(str, cut.select("k", "p", F.col("x_before").alias("b")).collect())) == sorted(map(str, wanted.collect()))
+
+
 def test_row_numbers_do_not_depend_on_names(spark):
     names = [f"a-long-common-beginning-{i:05d}" for i in range(500)]
     frame = spark.createDataFrame([(n,) for n in names], "name string").repartition(4)
