@@ -2,6 +2,7 @@
 
 from gaugeworks.catalog import (  # noqa: F401
     calibration_queries,
+    contract_queries,
     coverage_queries,
     detector_queries,
     evidence_queries,

@@ -339,7 +339,7 @@ def corpus_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "acceptance_flags",
-    "P-26 G-04 A-43",
+    "A-43",
     """SELECT plan_id, workload_family, workload_config_id AS configuration_id, accepted_run_id, accepted_run_id IS NOT NULL AS completed FROM {planned_runs}""",
     EXTRA,
 )
