@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.catalog.registry import query
+from gaugeworks.operators import rules as R
 from gaugeworks.plans import contracts as C
 from gaugeworks.plans.matrix import STRATEGIES, STRATEGY_BOUNDS
-from gaugeworks.schemas import COVERAGE_REASONS
+from gaugeworks.schemas import COVERAGE_REASONS, FIELD_UNITS
 from gaugeworks.sources import contract_views  # noqa: F401  (adds the views)
 from gaugeworks.sources.views import view
 
@@ -275,3 +276,49 @@ def primary_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_run.groupBy("partition").agg(
         F.sum("windows").alias("windows"), F.count(F.lit(1)).alias("runs"), F.sum("samples").alias("benign_samples")
     )
+
+
+# --- readings of every telemetry field ----------------------------------------------
+# A reading from value v and unit u of a field; f picks one of nine faults or none.
+READING = {
+    "unit": "CASE f WHEN 1 THEN NULL WHEN 2 THEN '' WHEN 3 THEN 'GHz' ELSE u END",
+    "supported": "CASE WHEN f IN (4, 5, 6) THEN true WHEN f IN (7, 8, 9) THEN false ELSE v IS NOT NULL END",
+    "error": "CASE WHEN f IN (4, 7) THEN 'lost' WHEN f = 9 THEN '' WHEN f IN (5, 6, 8) THEN NULL WHEN v IS NULL THEN 'lost' END",
+    "value": """CASE WHEN f IN (4, 7) THEN coalesce(v, CAST(1 AS DOUBLE)) WHEN f IN (5, 8, 9) THEN NULL WHEN f = 6 THEN CAST('Infinity' AS DOUBLE)
+                ELSE v END""",
+}
+EXTRA["readings"] = " UNION ALL ".join(
+    f"SELECT run_id, gpu_index, '{name}' AS name, {name} AS v, '{unit}' AS u, (sequence + {7 * i}) % 43 AS f FROM {{telemetry}}"
+    for i, (name, unit) in enumerate(FIELD_UNITS.items())
+)
+_READING = {
+    "missing_unit": "coalesce(unit, '') = ''",
+    "unexpected_unit": "unit IS DISTINCT FROM u",
+    "supported_with_error": "supported AND error IS NOT NULL",
+    "supported_without_value": "supported AND value IS NULL",
+    "not_finite": "supported AND NOT isfinite(value)",
+    "unsupported_with_value": "NOT supported AND value IS NOT NULL",
+    "unsupported_without_reason": "NOT supported AND coalesce(error, '') = ''",
+}
+
+
+@query(
+    "reading_rule_counts",
+    "S-03 S-04 P-03",
+    f"""SELECT run_id, name, count(*) AS readings, {", ".join(f"count(*) FILTER (WHERE {rule}) AS {n}" for n, rule in _READING.items())}
+        FROM (SELECT *, {", ".join(f"{text} AS {n}" for n, text in READING.items())} FROM {{readings}}) r GROUP BY run_id, name""",
+    EXTRA,
+)
+def reading_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken rules per run and field, over all ten fields of one scan."""
+    telemetry = view(spark, sf_dir, "telemetry")
+    fields = [
+        F.struct(F.lit(n).alias("name"), F.col(n).alias("v"), F.lit(u).alias("u"), ((F.col("sequence") + 7 * i) % 43).alias("f"))
+        for i, (n, u) in enumerate(FIELD_UNITS.items())
+    ]
+    rows = telemetry.select("run_id", F.inline(F.array(*fields)))
+    readings = rows.select("run_id", "name", *[F.expr(text).alias(n) for n, text in READING.items()])
+    rules = R.reading_rules(*(F.col(n) for n in ("value", "unit", "supported", "error", "name")))
+    return readings.groupBy("run_id", "name").agg(
+        F.count(F.lit(1)).alias("readings"), *[F.count_if(rule).alias(n) for n, rule in rules.items()]
+    )
