@@ -46,7 +46,7 @@ def islands(samples: DataFrame, tolerance_seconds: float, width: int = SEGMENT_N
 def pair_counts(samples: DataFrame, tolerance_seconds: float) -> DataFrame:
     """Number of pairs per run under the tolerance, without reuse."""
     if tolerance_seconds < 0:
-        raise ValueError("alignment tolerance cannot be negative")
+        raise ValueError(f"samples pair within zero seconds or more, got {tolerance_seconds}")
     tolerance = int(tolerance_seconds * 1e9)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

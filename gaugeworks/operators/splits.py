@@ -16,8 +16,10 @@ from gaugeworks.functions.segments import row_numbers, running_totals
 from gaugeworks.schemas import SPLITS
 
 SEED = 20260730
+# --- fixed values: identity of a run, and words that no model column may carry ---
 IDENTITY = ("experiment_session_id", "target_label", "workload_family", "workload_config_id")
 FORBIDDEN_TOKENS = ("run_id", "timestamp", "path", "filename", "label", "family", "session")
+# ----------------------------------------------------------------------------------
 
 
 def run_groups(rows: DataFrame) -> DataFrame:
@@ -75,7 +77,7 @@ def check_fractions(test_fraction: float, validation_fraction: float) -> None:
     if not (0 < test_fraction < 1 and 0 < validation_fraction < 1):
         raise ValueError("split fractions must be in (0, 1)")
     if test_fraction + validation_fraction >= 1:
-        raise ValueError("test and validation fractions must sum to less than 1")
+        raise ValueError(f"nothing is left to train on: {test_fraction} is for test, {validation_fraction} for validation")
 
 
 def split_sizes(n: Column, test_fraction: float, validation_fraction: float) -> tuple[Column, Column]:

@@ -38,13 +38,13 @@ def on_device(gpu: int):
 
 def check_window_arguments(lengths: Sequence[float], stride_fraction: float, tolerance: float) -> None:
     if not lengths or any(float(w) <= 0 for w in lengths):
-        raise ValueError("window lengths must be positive")
+        raise ValueError(f"every window needs a length above zero, got {sorted(lengths)}")
     if len(set(lengths)) != len(lengths):
-        raise ValueError("window lengths must be unique")
+        raise ValueError(f"each window length once, got {sorted(lengths)}")
     if not 0 < stride_fraction <= 1:
-        raise ValueError("stride fraction must be in (0, 1]")
+        raise ValueError(f"a stride is a part of the window, above 0 and up to 1, got {stride_fraction}")
     if tolerance < 0:
-        raise ValueError("alignment tolerance cannot be negative")
+        raise ValueError(f"samples pair within zero seconds or more, got {tolerance}")
 
 
 def run_bounds(telemetry: DataFrame, runs: DataFrame | None, exclude_startup: bool = True) -> DataFrame:

@@ -29,6 +29,8 @@ STANDARD_PAYLOADS_MIB = (1, 4, 16, 64, 128)
 STANDARD_REPETITIONS = 5
 LEAST_MEASURED_SECONDS = 35.0
 SAFE_BATCH_SIZE = 4
+COLLECTIVE_NAME = r"^collective_(all_reduce|broadcast|all_gather|reduce_scatter|send_recv)_([1-9][0-9]*)mib$"
+LOCAL_SGD_NAME = r"^adversarial_periodic_local_sgd_k(1|2|4|8|16)$"
 # ----------------------------------------------------------------------------
 
 
@@ -45,9 +47,9 @@ class HoldoutPlan:
     def __post_init__(self) -> None:
         parts = [*self.development, *self.hardening, self.final_family]
         if sorted(parts) != sorted(STRATEGIES):
-            raise ValueError("a holdout plan assigns every strategy family exactly once")
+            raise ValueError(f"each of {sorted(STRATEGIES)} belongs to one round of a holdout plan")
         if not self.final_sessions or not self.final_configs:
-            raise ValueError("final sessions and configurations must be declared")
+            raise ValueError("a holdout plan seals at least one session and one configuration for the final test")
 
     def is_final(self, family: Column, session: Column, config: Column) -> Column:
         return F.coalesce(
@@ -90,7 +92,7 @@ def bound_problems(configs: DataFrame) -> DataFrame:
 def matrix_plan(workloads: DataFrame, repetitions: int, seed: int = SEED) -> DataFrame:
     """Every workload of a profile, repeated, in seeded order with stable plan ids."""
     if repetitions < 1:
-        raise ValueError("matrix repetitions must be at least one")
+        raise ValueError(f"a matrix runs every workload once or more, got {repetitions}")
     slots = workloads.select(
         "profile", "workload_name", "entry_id", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("slot")
     ).withColumn("_digest", seeded_hash(seed, F.col("profile"), F.col("workload_name"), F.col("entry_id"), F.col("slot")))
@@ -194,13 +196,8 @@ def registry_problems(workloads: DataFrame) -> DataFrame:
 
 def parse_workload_name(name: Column) -> list[Column]:
     """Kind, collective, payload and step count read from a workload name."""
-    collective = F.regexp_extract(
-        name, r"^collective_(all_reduce|broadcast|all_gather|reduce_scatter|send_recv)_([1-9][0-9]*)mib$", 1
-    )
-    payload = F.regexp_extract(
-        name, r"^collective_(all_reduce|broadcast|all_gather|reduce_scatter|send_recv)_([1-9][0-9]*)mib$", 2
-    )
-    steps = F.regexp_extract(name, r"^adversarial_periodic_local_sgd_k(1|2|4|8|16)$", 1)
+    collective, payload = (F.regexp_extract(name, COLLECTIVE_NAME, group) for group in (1, 2))
+    steps = F.regexp_extract(name, LOCAL_SGD_NAME, 1)
     return [
         F.when(F.length(collective) > 0, "calibration")
         .when(F.length(steps) > 0, "periodic_local_sgd")
