@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gaugeworks.catalog.registry import query, r_sql, round_doubles, rounded
 from gaugeworks.functions import arrays as A
 from gaugeworks.operators import windows as W
+from gaugeworks.operators.features import numeric_candidates
 from gaugeworks.schemas import TELEMETRY_FIELDS
 from gaugeworks.sources.views import view
 
@@ -506,3 +507,35 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(features(spark, sf_dir))
+
+
+_RECURSIVE = "WITH RECURSIVE out AS (SELECT 1)\n"
+EXTRA["wide_rows"] = _wide_sql().removeprefix(_RECURSIVE)
+_NOT_MEANS = (
+    "window_index", "window_start_ns", "window_end_ns", "sample_count_gpu0", "sample_count_gpu1", "aligned_sample_pairs",
+    "alignment_max_delta_seconds",
+)
+
+
+@query(
+    "feature_run_means",
+    "A-19 W-05",
+    _RECURSIVE
+    + f"""SELECT run_id, window_seconds, column_name, count(*) AS filled_windows, {r_sql("avg(v)")} AS mean
+FROM (UNPIVOT (SELECT run_id, window_seconds, CAST(COLUMNS(* EXCLUDE (run_id, window_seconds, {", ".join(_NOT_MEANS)})) AS DOUBLE) FROM {{wide_rows}})
+      ON COLUMNS(* EXCLUDE (run_id, window_seconds)) INTO NAME column_name VALUE v) u
+GROUP BY run_id, window_seconds, column_name""",
+    EXTRA,
+)
+def feature_run_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run-level mean of every numeric feature column, one row per run, window length and column.
+
+    One aggregate over the feature rows; columns become rows only after it.
+    """
+    rows = feature_rows(spark, sf_dir).drop("window_start_ns", "window_end_ns")
+    columns = numeric_candidates(rows)
+    sums = rows.groupBy("run_id", "window_seconds").agg(
+        *[F.struct(F.count(c).alias("filled_windows"), F.avg(c).alias("mean")).alias(c) for c in columns]
+    )
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c)["filled_windows"].alias("filled_windows"), F.col(c)["mean"].alias("mean")) for c in columns])
+    return round_doubles(sums.select("run_id", "window_seconds", F.inline(cells)).where("mean IS NOT NULL"))
