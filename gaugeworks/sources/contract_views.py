@@ -19,7 +19,7 @@ def _parameter(strategy: int, middle: float) -> str:
 
 
 # One configuration per part: eight strategies, benign and calibration entries, a fault for each k.
-VIEWS["registry"] = f"""
+VIEWS["workload_registry"] = f"""
 SELECT entry_id, concat('w-', CAST(entry_id AS STRING)) AS workload_name,
        CASE WHEN k = 1 THEN NULL WHEN k = 2 THEN '' WHEN k = 3 THEN concat('config-shared-', CAST(entry_id % 4 AS STRING))
             ELSE concat('config-', CAST(entry_id AS STRING)) END AS config_id,

@@ -115,3 +115,13 @@ def test_split_sink(spark, folder):
     frame = spark.createDataFrame([(1, "train"), (2, "test")], "run_id bigint, split string")
     E.write_splits(frame, "s", f"{folder}/splits")
     assert spark.read.parquet(f"{folder}/splits").where("split = 'test'").first()["run_id"] == 2
+
+
+def test_a_view_name_is_given_once():
+    import __spark_entry__  # noqa: F401  (loads every module that adds views)
+    from gaugeworks.sources.views import BASE_TABLES, VIEWS
+
+    assert "key-of-" in VIEWS["registry"] and "entry_id" in VIEWS["workload_registry"]
+    for name in ("registry", BASE_TABLES[0]):
+        with pytest.raises(ValueError):
+            VIEWS[name] = "SELECT 1"
