@@ -39,6 +39,16 @@ def test_quantiles_of_a_hot_key_are_exact(spark, ties):
             assert row[name] == pytest.approx(interpolated(values, p), abs=1e-9)
 
 
+def test_quantiles_are_exact_whatever_the_sketch_found(spark, monkeypatch):
+    monkeypatch.setattr(Q, "ACCURACY", 2)
+    monkeypatch.setattr(Q, "MARGIN", 0.0)
+    values = [float((7919 * i) % 10007) for i in range(4000)]
+    frame = spark.createDataFrame([("a", v) for v in values] + [("b", 3.0)], "k string, v double").repartition(4)
+    found = {r["k"]: r for r in Q.exact_quantiles(frame, ["k"], F.col("v"), {"m": 0.5, "h": 0.9}).collect()}
+    assert found["a"]["m"] == interpolated(values, 0.5) and abs(found["a"]["h"] - interpolated(values, 0.9)) < 1e-9
+    assert (found["b"]["n"], found["b"]["m"], found["b"]["h"]) == (1, 3.0, 3.0)
+
+
 def test_quantiles_of_groups_of_every_small_size(spark):
     rng = random.Random(3)
     sizes = [*range(1, 45), 499, 500, 501, 1999, 2001, 4003]
