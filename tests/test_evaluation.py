@@ -136,3 +136,12 @@ def test_every_holdout_value_has_rows(frame):
     assert found == {f: ("insufficient_data", "the training part does not have both classes") for f in ("f0", "f1")}
     configs = V.evaluate_holdouts(frame, "workload_config_id", COLUMNS, ("shallow_decision_tree",))
     assert {r["holdout_value"] for r in configs.where("status = 'evaluated_diagnostic'").collect()} == {f"c{i}" for i in range(18)}
+
+
+def test_a_mean_at_an_end_of_the_band_abstains_in_any_order(spark):
+    scores = [0.1, 0.6, 0.45, 0.3, 0.8, 0.45, 0.7, 0.2, 0.15, 0.75]
+    for order in (scores, scores[::-1], sorted(scores)):
+        rows = [(1, 1, p) for p in order] + [(2, 0, 0.25), (3, 0, 0.46)]
+        frame = spark.createDataFrame(rows, "run_id long, y int, p double").coalesce(1)
+        found = {r["run_id"]: (r["score"], r["predicted"], r["abstained"]) for r in M.run_predictions(frame, 0.35).collect()}
+        assert found == {1: (0.45, 1, True), 2: (0.25, 0, True), 3: (0.46, 1, False)}
