@@ -60,3 +60,15 @@ def test_wide_rows_equal_single_windows(tables):
 def test_no_samples_no_windows(tables):
     telemetry, bounds = tables
     assert B.field_table(W.block_samples(telemetry.limit(0), bounds, LENGTHS), LENGTHS, FIELDS).isEmpty()
+
+
+def test_means_of_wide_rows_and_kept_windows(tables, monkeypatch):
+    monkeypatch.setattr(B, "BATCH_ROWS", 50)
+    samples = W.block_samples(*tables, LENGTHS)
+    wide = B.feature_table(samples, LENGTHS, FIELDS, 0.3, 60_000.0)
+    names = [c for c in wide.columns if c.startswith(("gpu", "cross"))]
+    found = B.feature_means(samples, LENGTHS, FIELDS, 0.3, 60_000.0, names).select("run_id", "window_seconds", "column_name", "filled_windows", "mean")
+    cells = wide.select("run_id", "window_seconds", F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in names])))
+    wanted = cells.where("v IS NOT NULL").groupBy("run_id", "window_seconds", "column_name").agg(F.count("v").alias("filled_windows"), F.avg("v").alias("mean"))
+    same(found, wanted)
+    same(B.kept_windows(samples, LENGTHS, 0.3), wide.select(*W.WINDOW_KEYS))
