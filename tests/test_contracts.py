@@ -280,3 +280,16 @@ def test_completion_and_acceptance(spark):
     assert (smoke["planned"], smoke["launch_completed_count"], smoke["launch_failed_count"]) == (4, 1, 1)
     with pytest.raises(ValueError):
         C.corpus_acceptance(matrix, (), 1)
+
+
+def test_coverage_records_of_one_plan_meet_as_verdicts(spark):
+    names = "plan_id workload_family target_label experiment_session_id collection_id corpus_id node_id status reason_code".split()
+    doubles = "common_overlap_seconds usable_duration_seconds configured_warmup_seconds alignment_tolerance_seconds".split()
+    schema = ", ".join(f"{n} string" for n in names) + ", " + ", ".join(f"{n} double" for n in doubles)
+    schema += ", requested_windows array<double>, rows_per_gpu map<string,bigint>, emitted_windows map<string,bigint>"
+    schema += ", sampling_gaps map<string,map<string,double>>, aligned_sample_pairs long, common_start_ns long, common_end_ns long"
+    frame = spark.createDataFrame([], schema)
+    plan = C.coverage_record_problems(frame, "main", (5.0,), ())._jdf.queryExecution().optimizedPlan()
+    join = next(line for line in plan.toString().splitlines() if "Join" in line)
+    left = plan.toString().split(join)[1].split("Join")[0]
+    assert "alone" in left and left.index("alone") < left.index("LocalRelation" if "LocalRelation" in left else "LogicalRDD")
