@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.arrays import once
 from gaugeworks.operators.ingest import ZONED
 from gaugeworks.schemas import (
     CURRENT_VERSION,
@@ -113,6 +114,11 @@ EVIDENCE_COUNTS = ("communication_bytes_proxy", "optimizer_steps", "inference_st
 EVIDENCE_METRICS = ("throughput_tokens_per_s", "final_loss_proxy", "detector_score")
 EVIDENCE_TEXTS = ("strategy_id", "communication_proxy_definition", "detector_score_status")
 UNSCORED = "pending_frozen_evaluation"
+SUMMARY_VALUES = (
+    "actual_sync_rounds", "expected_sync_rounds", *EVIDENCE_COUNTS, *EVIDENCE_METRICS, "wall_time_s", *EVIDENCE_TEXTS, "detector_model",
+    "parameter_state_agreement",
+)
+MEMORY_VALUES = ("allocated_bytes", "reserved_bytes")
 # ---------------------------------------------------------
 
 
@@ -125,55 +131,71 @@ def rank_evidence_audit(manifests: DataFrame) -> DataFrame:
     """
     current = F.col("schema_version") == CURRENT_VERSION
     done = current & (F.col("designation") == "adversarial") & (F.col("exit_status") == "completed") & F.col("participation_valid")
-    # The parsed value stays next to the text, so the rules read one parse and not one each.
     rows = manifests.where(done).select("run_id", "workload_label", F.try_parse_json("config").alias("parsed"))
-
-    def part(path: str, kind: str) -> Column:
-        return F.try_variant_get("parsed", path, kind)
-
-    def kind_of(path: str) -> Column:
-        return F.coalesce(F.schema_of_variant(part(path, "variant")), F.lit("VOID"))
-
-    def count(path: str) -> Column:
+    ranks, evidence = ("0", "1"), "$.rank_runtime_evidence"
+
+    def part(value: Column | str, path: str, kind: str = "variant") -> Column:
+        return F.try_variant_get(value, path, kind)
+
+    # Step by step down into the value, each step behind ``once``: no rule walks or types it again.
+    keys = F.map_keys(part("parsed", evidence, "map<string,variant>"))
+    rows = once(rows, keys=keys, strategy=part("parsed", "$.strategy_id"), evidence=part("parsed", evidence)).drop("parsed")
+    rows = once(
+        rows,
+        **{f"summary_{r}": part("evidence", f'$["{r}"].strategy_summary') for r in ranks},
+        **{f"memory_{r}": part("evidence", f'$["{r}"].memory_peak') for r in ranks},
+    ).drop("evidence")
+    leaves = {f"{name}_{r}": part(f"summary_{r}", f"$.{name}") for r in ranks for name in SUMMARY_VALUES}
+    leaves |= {f"{name}_{r}": part(f"memory_{r}", f"$.{name}") for r in ranks for name in MEMORY_VALUES}
+    rows = once(rows, **leaves)
+    kinds = {f"kind_{name}": F.coalesce(F.schema_of_variant(name), F.lit("VOID")) for name in (*leaves, "strategy")}
+    kinds |= {f"whole_{r}": F.coalesce(F.schema_of_variant(f"summary_{r}"), F.lit("VOID")).startswith("OBJECT") for r in ranks}
+    rows = once(rows, **kinds)
+
+    def kind_of(name: str) -> Column:
+        return F.col(f"kind_{name}")
+
+    def whole_number(name: str) -> Column:
         """A whole number of zero or more, else null."""
-        return F.when((kind_of(path) == "BIGINT") & (part(path, "bigint") >= 0), part(path, "bigint"))
+        value = part(name, "$", "bigint")
+        return F.when((kind_of(name) == "BIGINT") & (value >= 0), value)
 
-    def number(path: str) -> Column:
+    def number(name: str) -> Column:
         """Whether there is a finite number of zero or more."""
-        value = part(path, "double")
-        numeric = kind_of(path).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+        value = part(name, "$", "double")
+        numeric = kind_of(name).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
         return F.coalesce(numeric & (value >= 0) & (value < float("inf")), F.lit(False))
 
-    def text(path: str) -> Column:
-        return F.when((kind_of(path) == "STRING") & (part(path, "string") != ""), part(path, "string"))
-
-    evidence = "$.rank_runtime_evidence"
-    keys = F.map_keys(F.try_variant_get("parsed", evidence, "map<string,variant>"))
-    exact = F.coalesce(F.array_sort(keys) == F.array(F.lit("0"), F.lit("1")), F.lit(False))
-    problems, rounds = [F.when(~exact, "ranks_not_zero_and_one")], []
-    for rank in ("0", "1"):
-        base = f'{evidence}["{rank}"]'
-        summary = f"{base}.strategy_summary"
-        actual, expected = count(f"{summary}.actual_sync_rounds"), count(f"{summary}.expected_sync_rounds")
-        rounds.append(actual)
+    def filled_text(name: str) -> Column:
+        value = part(name, "$", "string")
+        return F.when((kind_of(name) == "STRING") & (value != ""), value)
+
+    numbers = ("actual_sync_rounds", "expected_sync_rounds", *EVIDENCE_COUNTS, *MEMORY_VALUES)
+    typed = {f"whole_{n}_{r}": whole_number(f"{n}_{r}") for r in ranks for n in numbers}
+    typed |= {f"number_{n}_{r}": number(f"{n}_{r}") for r in ranks for n in (*EVIDENCE_METRICS, "wall_time_s")}
+    typed |= {f"text_{n}_{r}": filled_text(f"{n}_{r}") for r in ranks for n in EVIDENCE_TEXTS}
+    typed |= {f"agreed_{r}": part(f"parameter_state_agreement_{r}", "$", "boolean") for r in ranks}
+    rows = once(rows, **typed, text_strategy=filled_text("strategy"))
+    c = F.col
+    exact = F.coalesce(F.array_sort("keys") == F.array(F.lit("0"), F.lit("1")), F.lit(False))
+    problems = [F.when(~exact, "ranks_not_zero_and_one")]
+    for r in ranks:
+        actual, expected = c(f"whole_actual_sync_rounds_{r}"), c(f"whole_expected_sync_rounds_{r}")
         rules = {"sync_counts_invalid": actual.isNull() | expected.isNull(), "sync_counts_differ": actual != expected}
-        rules |= {f"{name}_invalid": count(f"{summary}.{name}").isNull() for name in EVIDENCE_COUNTS}
-        rules |= {
-            f"{name}_invalid": (kind_of(f"{summary}.{name}") != "VOID") & ~number(f"{summary}.{name}") for name in EVIDENCE_METRICS
-        }
-        rules["wall_time_s_invalid"] = ~number(f"{summary}.wall_time_s")
-        rules |= {f"{name}_empty": text(f"{summary}.{name}").isNull() for name in EVIDENCE_TEXTS}
-        rules["strategy_mismatch"] = ~text(f"{summary}.strategy_id").eqNullSafe(text("$.strategy_id"))
-        scored = (kind_of(f"{summary}.detector_score") != "VOID") | (kind_of(f"{summary}.detector_model") != "VOID")
-        rules["scored_at_run_time"] = scored | ~text(f"{summary}.detector_score_status").eqNullSafe(F.lit(UNSCORED))
-        memory = [count(f"{base}.memory_peak.{name}_bytes").isNull() for name in ("allocated", "reserved")]
-        rules["memory_peak_invalid"] = memory[0] | memory[1]
-        agreed = (kind_of(f"{summary}.parameter_state_agreement") == "BOOLEAN") & part(f"{summary}.parameter_state_agreement", "boolean")
-        rules["parameters_disagree"] = (F.col("workload_label") == "training") & ~F.coalesce(agreed, F.lit(False))
-        whole = kind_of(summary).startswith("OBJECT")
-        problems.append(F.when(~whole, f"rank_{rank}_summary_missing"))
-        problems += [F.when(whole & rule, f"rank_{rank}_{name}") for name, rule in rules.items()]
-    problems.append(F.when(rounds[0] != rounds[1], "ranks_disagree_on_rounds"))
+        rules |= {f"{n}_invalid": c(f"whole_{n}_{r}").isNull() for n in EVIDENCE_COUNTS}
+        rules |= {f"{n}_invalid": (kind_of(f"{n}_{r}") != "VOID") & ~c(f"number_{n}_{r}") for n in EVIDENCE_METRICS}
+        rules["wall_time_s_invalid"] = ~c(f"number_wall_time_s_{r}")
+        rules |= {f"{n}_empty": c(f"text_{n}_{r}").isNull() for n in EVIDENCE_TEXTS}
+        rules["strategy_mismatch"] = ~c(f"text_strategy_id_{r}").eqNullSafe(c("text_strategy"))
+        scored = (kind_of(f"detector_score_{r}") != "VOID") | (kind_of(f"detector_model_{r}") != "VOID")
+        rules["scored_at_run_time"] = scored | ~c(f"text_detector_score_status_{r}").eqNullSafe(F.lit(UNSCORED))
+        rules["memory_peak_invalid"] = c(f"whole_allocated_bytes_{r}").isNull() | c(f"whole_reserved_bytes_{r}").isNull()
+        agreed = (kind_of(f"parameter_state_agreement_{r}") == "BOOLEAN") & c(f"agreed_{r}")
+        rules["parameters_disagree"] = (c("workload_label") == "training") & ~F.coalesce(agreed, F.lit(False))
+        whole = c(f"whole_{r}")
+        problems.append(F.when(~whole, f"rank_{r}_summary_missing"))
+        problems += [F.when(whole & rule, f"rank_{r}_{name}") for name, rule in rules.items()]
+    problems.append(F.when(c("whole_actual_sync_rounds_0") != c("whole_actual_sync_rounds_1"), "ranks_disagree_on_rounds"))
     return rows.select("run_id", F.array_compact(F.array(*problems)).alias("problems"))
 
 

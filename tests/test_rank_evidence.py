@@ -80,3 +80,11 @@ def test_problems(audit, name):
 def test_which_runs(audit):
     assert set(audit) == {*CASES, "inference"}
     assert audit["inference"] == ""
+
+
+def test_every_value_is_walked_and_typed_once(spark):
+    schema = "run_id string, workload_label string, schema_version string, designation string, exit_status string, participation_valid boolean, config string"
+    found = R.rank_evidence_audit(spark.createDataFrame([], schema).repartition(2))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("schema_of_variant(") <= 2 * (len(R.SUMMARY_VALUES) + len(R.MEMORY_VALUES)) + 3
+    assert plan.count("try_parse_json(") + plan.count("parse_json(") <= 2
