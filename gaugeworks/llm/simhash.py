@@ -62,6 +62,19 @@ def fingerprint_of(text: str, words: int = SHINGLE_WORDS, seed: int = HASH_SEED)
     return int((ones.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
 
 
+def set_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of 128 bits, as two signed longs, of a set of 64-bit hashes: their own bits, and those
+    of a second hash mixed from each."""
+    second = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    second = (second ^ (second >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    lanes = np.stack([hashes, second ^ (second >> np.uint64(33))], axis=1)
+    counts = np.zeros(128, dtype=np.int64)
+    for at in range(0, len(lanes), 65536):
+        octets = lanes[at : at + 65536].view(np.uint8)
+        counts += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)
+
+
 def fingerprint(text: Column) -> Column:
     """SimHash as a signed long, computed batch by batch."""
 

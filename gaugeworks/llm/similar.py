@@ -1,13 +1,20 @@
-"""Near copies by Jaccard similarity of word shingles: prefix filter, exact check, components.
+"""Near copies by SimHash: fingerprints near each other, an exact check by Jaccard similarity of word
+shingles, components.
+
+Near copies have fingerprints of few differing bits, at 0.8 similarity about 20 of 128. No tree or
+table finds all pairs within that distance without comparing most of them, so fingerprints are
+compared where texts meet at a rare shingle:
 
 Two texts whose shingle sets of n and m have similarity t or more share at least t / (1 + t) (n + m)
 shingles. In one order of all shingles, the first n - ceil(t n) + 1 of one set and those of the other
 then have a member in common, so only texts that share such a shingle are compared and no pair is
 lost. Of the set whose prefix ends first in that order, every common shingle is common to both
-prefixes or lies behind its prefix; so the number that both prefixes share bounds what two sets can
-share, and pairs that stay below are not compared. The order is rarest first by counts over a sample
-of texts: it decides how many texts meet and not which pairs are found. Every pair that is left is
-checked on its texts.
+prefixes or lies behind its prefix; so the first one bounds by its places what two sets can share, and
+pairs that stay below are not compared. The order is rarest first by counts over a sample of texts: it
+decides how many texts meet and not which pairs are found. Of the pairs that meet, those whose
+fingerprints are near go on, and every one of these is checked on its texts. A bit of two sets of the
+least similarity differs with probability 0.162 at most from 8 shingles on and 0.188 below (exact
+sums over all sizes up to 150, falling to 0.152), so a radius loses one such pair in 10^10.
 """
 
 from __future__ import annotations
@@ -19,11 +26,12 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import keep_rows, staged, whole_text
 from gaugeworks.llm.components import components
+from gaugeworks.llm.simhash import set_fingerprint
 
 SHINGLE_WORDS = 5
 SIMILARITY = Fraction(4, 5)
@@ -33,7 +41,14 @@ SAMPLE_TEXTS = 10_000
 COUNTERS = 1 << 19
 COUNT_TASKS = 8
 
+#: Bits of 128 in which similar sets differ at most, by the size of the smaller set. For similarities
+#: of 0.8 and more; a smaller one has no radius.
+SMALL_SET = 8
+RADIUS, SMALL_RADIUS = 50, 56
+RADIUS_SIMILARITY = Fraction(4, 5)
+
 _POSTING = "shingle long, node long, n int, at int"
+_PRINT = ("f0", "f1")
 
 
 def shingles_of(text: str, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -75,29 +90,33 @@ def shingle_counts(texts: DataFrame, words: int) -> np.ndarray:
     return counts
 
 
-def prefixes(texts: DataFrame, words: int, least: Fraction) -> DataFrame:
-    """Rows (shingle, node, n, at): the shingles of each prefix and their places, with the set size."""
+def prefixes(texts: DataFrame, words: int, least: Fraction, prints: bool = False) -> DataFrame:
+    """Rows (shingle, node, n, at): the shingles of each prefix and their places, with the set size; with
+    ``prints`` also f0 and f1, the fingerprint of the set."""
     shared = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts, words))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = shared.value
         for batch in batches:
-            parts = []
+            parts, marks = [], []
             for node, text in zip(batch["node"], batch["body"], strict=True):
                 own = shingles_of(text, words)
+                if prints:
+                    marks.append(set_fingerprint(own))
                 own = own[np.argsort(counts[(own % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")]
                 parts.append((own[: prefix_length(len(own), least)].view(np.int64), node, len(own)))
             sizes = [len(p[0]) for p in parts]
-            yield pd.DataFrame(
-                {
-                    "shingle": np.concatenate([p[0] for p in parts]),
-                    "node": np.repeat([p[1] for p in parts], sizes),
-                    "n": np.repeat([p[2] for p in parts], sizes).astype(np.int32),
-                    "at": np.concatenate([np.arange(s, dtype=np.int32) for s in sizes]),
-                }
-            )
+            columns = {
+                "shingle": np.concatenate([p[0] for p in parts]),
+                "node": np.repeat([p[1] for p in parts], sizes),
+                "n": np.repeat([p[2] for p in parts], sizes).astype(np.int32),
+                "at": np.concatenate([np.arange(s, dtype=np.int32) for s in sizes]),
+            }
+            if prints:
+                columns |= {f: np.repeat([m[i] for m in marks], sizes) for i, f in enumerate(_PRINT)}
+            yield pd.DataFrame(columns)
 
-    return texts.mapInPandas(cut, _POSTING)
+    return texts.mapInPandas(cut, ", ".join([_POSTING, *(f"{f} long" for f in _PRINT if prints)]))
 
 
 def prefix_of(n: Column, least: Fraction) -> Column:
@@ -119,12 +138,11 @@ def possible(a: str, b: str, least: Fraction) -> Column:
     return left * (up + down) >= (F.col(f"{a}.n") + F.col(f"{b}.n")).cast("long") * up
 
 
-def enough(a: Column, b: Column, common: Column, least: Fraction) -> Column:
-    """Whether sets of a and b shingles whose prefixes have ``common`` shingles in common can reach the
-    similarity: no more than what lies behind one of the prefixes can be added."""
-    up, down = least.numerator, least.denominator
-    behind = F.greatest(a - prefix_of(a, least), b - prefix_of(b, least))
-    return (common + behind) * (up + down) >= (a + b).cast("long") * up
+def near(a: str, b: str) -> Column:
+    """Whether two fingerprints are within the radius."""
+    bits = [F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in _PRINT]
+    small = F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) < SMALL_SET
+    return bits[0] + bits[1] <= F.when(small, SMALL_RADIUS).otherwise(RADIUS)
 
 
 def checked(pairs: DataFrame, texts: DataFrame, words: int, least: Fraction) -> DataFrame:
@@ -146,36 +164,56 @@ def linked_texts(texts: DataFrame, words: int = SHINGLE_WORDS, least: Fraction =
     """Rows (node, root) for every node of ``texts(node, body)`` that has a similar one: its component.
 
     First each text is compared with one text of each shingle it shares, the one that shares most of
-    its prefix: most of a large group hangs together by that. Then all texts of a shingle that are in
-    different components so far are compared, which leaves out no pair that could join two.
+    its prefix: most of a large group hangs together by that, and a shingle of two texts is done. Then
+    all texts of a shingle that are in different components so far are compared, which leaves out no
+    pair that could join two: the first shingle that two similar sets share shows them as possible.
     """
-    rows = staged(met_rows(prefixes(texts, words, least)), "met")
-    degree = rows.groupBy("node").agg((F.count(F.lit(1)) / prefix_of(F.first("n"), least)).alias("degree"))
-    best = rows.join(degree, "node").groupBy("shingle").agg(F.max(F.struct("degree", "node", "n", "at")).alias("c"))
-    star = rows.alias("a").join(best.select("shingle", "c.node", "c.n", "c.at").alias("b"), "shingle")
-    star = star.filter(F.col("a.node") != F.col("b.node")).filter(possible("a", "b", least))
-    star = star.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
-    links = checked(star, texts, words, least)
+    prints = least >= RADIUS_SIMILARITY
+    fields = ["node", "n", "at", *_PRINT[: 2 * prints]]
+
+    def meet(centre: str) -> Column:
+        fit = (F.col("own.node") != F.col(f"{centre}.node")) & possible("own", centre, least)
+        return fit & near("own", centre) if prints else fit
+
+    rows = gathered(prefixes(texts, words, least, prints)).withColumn("own", F.struct(*fields))
+    rows = rows.withColumn("mate", F.when((F.col("nodes") == 2) & meet("centre"), F.col("centre.node")))
+    rows = staged(rows.filter("nodes > 2 OR mate IS NOT NULL").select("shingle", *fields, "mate"), "met")
+    twos = rows.filter("mate IS NOT NULL").select(F.col("mate").alias("a"), F.col("node").alias("b"))
+    rows = rows.filter("mate IS NULL").drop("mate")
+    degree = F.count(F.lit(1)).over(Window.partitionBy("node")) / prefix_of(F.col("n"), least)
+    star = rows.withColumn("degree", degree).withColumn("own", F.struct("degree", *fields))
+    star = star.withColumn("hub", F.max("own").over(Window.partitionBy("shingle")))
+    star = star.filter(meet("hub")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+    links = checked(twos.unionByName(star).distinct(), texts, words, least)
     groups = staged(components(links), "groups")
 
     rows = rows.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = rows.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
-    rows = staged(rows.join(apart, "shingle"), "apart")
-    links = links.unionByName(checked(apart_pairs(rows, least), texts, words, least))
+    own = Window.partitionBy("shingle")
+    rows = rows.withColumns({"lo": F.min("root").over(own), "hi": F.max("root").over(own)})
+    rows = staged(rows.filter("lo <> hi").drop("lo", "hi"), "apart")
+    links = links.unionByName(checked(apart_pairs(rows, least, prints), texts, words, least))
     return components(links)
 
 
+def gathered(rows: DataFrame) -> DataFrame:
+    """The rows whose shingle has two nodes, with the row of its smallest node as ``centre``, its
+    largest node as ``last`` and its number of ``nodes``. The rows are shuffled once; a long group is
+    buffered on disk."""
+    own = Window.partitionBy("shingle")
+    centre = F.min(F.struct("node", *[c for c in rows.columns if c not in ("shingle", "node")]))
+    found = {"centre": centre.over(own), "last": F.max("node").over(own), "nodes": F.count(F.lit(1)).over(own)}
+    return rows.withColumns(found).filter(F.col("centre.node") != F.col("last"))
+
+
 def met_rows(rows: DataFrame) -> DataFrame:
-    """The rows whose shingle has two nodes. Both sides of the join stream; no group is held. The rows
-    are computed for either side: sharing one shuffle was far slower when measured."""
-    rows = rows.repartition("shingle")
-    seen = rows.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    return rows.hint("merge").join(seen.filter("lo <> hi").select("shingle"), "shingle")
+    """The rows whose shingle has two nodes."""
+    return gathered(rows).select(rows.columns)
 
 
-def apart_pairs(rows: DataFrame, least: Fraction) -> DataFrame:
-    """Distinct pairs (a, b) of nodes with different roots that can reach the similarity, from
-    ``rows(shingle, node, n, at, root)``, which hold every prefix shingle that two roots share.
+def apart_pairs(rows: DataFrame, least: Fraction, prints: bool = False) -> DataFrame:
+    """Distinct pairs (a, b) of nodes with different roots that can reach the similarity, and with
+    ``prints`` have near fingerprints, from ``rows(shingle, node, n, at, root)``, which hold the first
+    prefix shingle that two such nodes share.
 
     Sizes are part of the join key: a set meets only sets of its own band of sizes and of the next
     one. A band is somewhat wider than the ratio of sizes that similar sets can have.
@@ -186,13 +224,10 @@ def apart_pairs(rows: DataFrame, least: Fraction) -> DataFrame:
     pairs = small.join(rows.alias("b"), ["shingle", "band"])
     smaller = F.struct("a.n", "a.node") < F.struct("b.n", "b.node")
     sizes = F.col("b.n").cast("long") * least.numerator <= F.col("a.n").cast("long") * least.denominator
-    pairs = pairs.filter(smaller & sizes & (F.col("a.root") != F.col("b.root")))
-    pairs = pairs.groupBy(F.col("a.node").alias("x"), F.col("a.n").alias("nx"), F.col("b.node").alias("y"), F.col("b.n").alias("ny"))
-    pairs = pairs.agg(F.count(F.lit(1)).alias("common"), F.min("a.at").alias("ax"), F.min("b.at").alias("ay"))
-    pairs = pairs.filter(enough(F.col("nx"), F.col("ny"), F.col("common"), least))
-    first = pairs.select("*", F.struct(F.col("nx").alias("n"), F.col("ax").alias("at")).alias("u"), F.struct(F.col("ny").alias("n"), F.col("ay").alias("at")).alias("v"))
-    first = first.filter(possible("u", "v", least))
-    return first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = pairs.filter(smaller & sizes & (F.col("a.root") != F.col("b.root")) & possible("a", "b", least))
+    if prints:
+        pairs = pairs.filter(near("a", "b"))
+    return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
 
 def numbered_texts(docs: DataFrame) -> tuple[DataFrame, Column]:
