@@ -9,8 +9,8 @@ Two texts whose shingle sets of n and m have similarity t or more share at least
 shingles. In one order of all shingles, the first n - ceil(t n) + 1 of one set and those of the other
 then have a member in common, so only texts that share such a shingle are compared and no pair is
 lost. Of the set whose prefix ends first in that order, every common shingle is common to both
-prefixes or lies behind its prefix; so the first one bounds by its places what two sets can share, and
-pairs that stay below are not compared. The order is rarest first by counts over a sample of texts: it
+prefixes or lies behind its prefix; so the number that both prefixes share bounds what two sets can
+share, and pairs that stay below are not compared. The order is rarest first by counts over a sample of texts: it
 decides how many texts meet and not which pairs are found. Of the pairs that meet, those whose
 fingerprints are near go on, and every one of these is checked on its texts. A bit of two sets of the
 least similarity differs with probability 0.162 at most from 8 shingles on and 0.188 below (exact
@@ -138,6 +138,14 @@ def possible(a: str, b: str, least: Fraction) -> Column:
     return left * (up + down) >= (F.col(f"{a}.n") + F.col(f"{b}.n")).cast("long") * up
 
 
+def enough(a: Column, b: Column, common: Column, least: Fraction) -> Column:
+    """Whether sets of a and b shingles whose prefixes have ``common`` shingles in common can reach the
+    similarity: no more than what lies behind one of the prefixes can be added."""
+    up, down = least.numerator, least.denominator
+    behind = F.greatest(a - prefix_of(a, least), b - prefix_of(b, least))
+    return (common + behind) * (up + down) >= (a + b).cast("long") * up
+
+
 def near(a: str, b: str) -> Column:
     """Whether two fingerprints are within the radius."""
     bits = [F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in _PRINT]
@@ -163,28 +171,28 @@ def checked(pairs: DataFrame, texts: DataFrame, words: int, least: Fraction) ->
 def linked_texts(texts: DataFrame, words: int = SHINGLE_WORDS, least: Fraction = SIMILARITY) -> DataFrame:
     """Rows (node, root) for every node of ``texts(node, body)`` that has a similar one: its component.
 
-    First each text is compared with one text of each shingle it shares, the one that shares most of
-    its prefix: most of a large group hangs together by that, and a shingle of two texts is done. Then
-    all texts of a shingle that are in different components so far are compared, which leaves out no
-    pair that could join two: the first shingle that two similar sets share shows them as possible.
+    First each text is compared with one text, of those that share most of their own prefix the one it
+    meets most often: most of a large group hangs together by that. Then all texts of a shingle that
+    are in different components so far are compared, which leaves out no pair that could join two.
+    Only shingles of two texts whose fingerprints are not near are left out, so the shingles that two
+    near texts share are all counted.
     """
     prints = least >= RADIUS_SIMILARITY
     fields = ["node", "n", "at", *_PRINT[: 2 * prints]]
-
-    def meet(centre: str) -> Column:
-        fit = (F.col("own.node") != F.col(f"{centre}.node")) & possible("own", centre, least)
-        return fit & near("own", centre) if prints else fit
-
-    rows = gathered(prefixes(texts, words, least, prints)).withColumn("own", F.struct(*fields))
-    rows = rows.withColumn("mate", F.when((F.col("nodes") == 2) & meet("centre"), F.col("centre.node")))
-    rows = staged(rows.filter("nodes > 2 OR mate IS NOT NULL").select("shingle", *fields, "mate"), "met")
-    twos = rows.filter("mate IS NOT NULL").select(F.col("mate").alias("a"), F.col("node").alias("b"))
-    rows = rows.filter("mate IS NULL").drop("mate")
+    rows = gathered(prefixes(texts, words, least, prints))
+    if prints:
+        rows = rows.filter((F.col("nodes") > 2) | near("centre", "last"))
+    rows = staged(rows.select("shingle", *fields), "met")
     degree = F.count(F.lit(1)).over(Window.partitionBy("node")) / prefix_of(F.col("n"), least)
     star = rows.withColumn("degree", degree).withColumn("own", F.struct("degree", *fields))
     star = star.withColumn("hub", F.max("own").over(Window.partitionBy("shingle")))
-    star = star.filter(meet("hub")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-    links = checked(twos.unionByName(star).distinct(), texts, words, least)
+    star = star.filter((F.col("node") != F.col("hub.node")) & possible("own", "hub", least))
+    if prints:
+        star = star.filter(near("own", "hub"))
+    star = star.groupBy("node", F.col("hub.node").alias("mate")).agg(F.count(F.lit(1)).alias("common"))
+    star = star.groupBy("node").agg(F.max(F.struct("common", "mate")).alias("best"))
+    star = star.select(F.least("node", "best.mate").alias("a"), F.greatest("node", "best.mate").alias("b"))
+    links = checked(star.distinct(), texts, words, least)
     groups = staged(components(links), "groups")
 
     rows = rows.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -197,12 +205,12 @@ def linked_texts(texts: DataFrame, words: int = SHINGLE_WORDS, least: Fraction =
 
 def gathered(rows: DataFrame) -> DataFrame:
     """The rows whose shingle has two nodes, with the row of its smallest node as ``centre``, its
-    largest node as ``last`` and its number of ``nodes``. The rows are shuffled once; a long group is
+    largest as ``last`` and its number of ``nodes``. The rows are shuffled once; a long group is
     buffered on disk."""
     own = Window.partitionBy("shingle")
-    centre = F.min(F.struct("node", *[c for c in rows.columns if c not in ("shingle", "node")]))
-    found = {"centre": centre.over(own), "last": F.max("node").over(own), "nodes": F.count(F.lit(1)).over(own)}
-    return rows.withColumns(found).filter(F.col("centre.node") != F.col("last"))
+    row = F.struct("node", *[c for c in rows.columns if c not in ("shingle", "node")])
+    found = {"centre": F.min(row).over(own), "last": F.max(row).over(own), "nodes": F.count(F.lit(1)).over(own)}
+    return rows.withColumns(found).filter(F.col("centre.node") != F.col("last.node"))
 
 
 def met_rows(rows: DataFrame) -> DataFrame:
@@ -212,7 +220,7 @@ def met_rows(rows: DataFrame) -> DataFrame:
 
 def apart_pairs(rows: DataFrame, least: Fraction, prints: bool = False) -> DataFrame:
     """Distinct pairs (a, b) of nodes with different roots that can reach the similarity, and with
-    ``prints`` have near fingerprints, from ``rows(shingle, node, n, at, root)``, which hold the first
+    ``prints`` have near fingerprints, from ``rows(shingle, node, n, at, root)``, which hold every
     prefix shingle that two such nodes share.
 
     Sizes are part of the join key: a set meets only sets of its own band of sizes and of the next
@@ -224,10 +232,15 @@ def apart_pairs(rows: DataFrame, least: Fraction, prints: bool = False) -> DataF
     pairs = small.join(rows.alias("b"), ["shingle", "band"])
     smaller = F.struct("a.n", "a.node") < F.struct("b.n", "b.node")
     sizes = F.col("b.n").cast("long") * least.numerator <= F.col("a.n").cast("long") * least.denominator
-    pairs = pairs.filter(smaller & sizes & (F.col("a.root") != F.col("b.root")) & possible("a", "b", least))
+    pairs = pairs.filter(smaller & sizes & (F.col("a.root") != F.col("b.root")))
     if prints:
         pairs = pairs.filter(near("a", "b"))
-    return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+    pairs = pairs.groupBy(F.col("a.node").alias("x"), F.col("a.n").alias("nx"), F.col("b.node").alias("y"), F.col("b.n").alias("ny"))
+    pairs = pairs.agg(F.count(F.lit(1)).alias("common"), F.min("a.at").alias("ax"), F.min("b.at").alias("ay"))
+    pairs = pairs.filter(enough(F.col("nx"), F.col("ny"), F.col("common"), least))
+    first = pairs.select("*", F.struct(F.col("nx").alias("n"), F.col("ax").alias("at")).alias("u"), F.struct(F.col("ny").alias("n"), F.col("ay").alias("at")).alias("v"))
+    first = first.filter(possible("u", "v", least))
+    return first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def numbered_texts(docs: DataFrame) -> tuple[DataFrame, Column]:

@@ -36,11 +36,11 @@ def test_similar_sets_are_within_the_radius():
         assert n < 20 or sum(far) > 50
 
 
-def test_strangers_at_one_shingle_make_no_pairs(spark):
+def test_strangers_that_share_a_prefix_make_no_pairs(spark):
     rng = random.Random(3)
     marks = [set_fingerprint(drawn(rng, 50)).tolist() for _ in range(120)]
     marks[7] = marks[3]
-    rows = [(1, node, 50, 0, node, *m) for node, m in enumerate(marks)]
+    rows = [(at, node, 50, at, node, *m) for node, m in enumerate(marks) for at in range(11)]
     frame = spark.createDataFrame(rows, "shingle long, node long, n int, at int, root long, f0 long, f1 long")
     pairs = {tuple(r) for r in similar.apart_pairs(frame, Fraction(4, 5), True).collect()}
     assert (3, 7) in pairs and len(pairs) < 120 * 119 // 2 * 0.03
